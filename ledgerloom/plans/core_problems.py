@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.asof import Attribute, attributes_as_of
+from ledgerloom.operators.instants import normalise_instants
+from ledgerloom.operators.lookup import lookup_join
 from ledgerloom.operators.skew import State, split_aggregate
 from ledgerloom.sources.tables import clean_id, table
 
@@ -94,3 +96,29 @@ SQL = {
     "p4_found": _HEAVY_SQL + "SELECT key_field, key_value FROM c WHERE key_value IS NOT NULL AND \"rows\" * 1000 >= total * permille",
     "p4_heavy_keys": _HEAVY_SQL + "SELECT key_field, key_value, \"rows\", first_at, last_at FROM c WHERE key_value IS NOT NULL AND \"rows\" * 1000 >= total * permille",
 }
+
+
+TIME_FIELDS = ("timestamp", "date", "date_updated", "date_added", "read_at", "started_at")
+
+
+def _instants(spark: SparkSession, d: str) -> DataFrame:
+    """The review log with its instants; a yelp row's wall times are in the zone of its item's city."""
+    zones = table(spark, d, "city_zone").select(F.btrim("city").alias("city"), "time_zone")
+    items = table(spark, d, "item").select(clean_id("item_id").alias("_item"), F.btrim("city").alias("city"))
+    # An item listed twice has the first of its zones by name.
+    place = items.join(F.broadcast(zones), "city").where("_item IS NOT NULL").groupBy("_item").agg(F.min("time_zone").alias("time_zone"))
+    log = table(spark, d, "review").select("seq", "source", *TIME_FIELDS, F.when(F.col("source") == "yelp", clean_id("item_id")).alias("_item"))
+    return normalise_instants(lookup_join(log, place, "_item", "seq"), TIME_FIELDS, F.col("time_zone"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The instant of every review with a usable time."""
+    return _instants(spark, d).where("epoch_second IS NOT NULL").select(F.col("seq").cast("bigint").alias("seq"), "epoch_second")
+
+
+def p6_notes(spark: SparkSession, d: str) -> DataFrame:
+    """How many times of each source and field were read, ambiguous, nonexistent or missing."""
+    return _instants(spark, d).groupBy("source", "time_field", "time_note").agg(F.count(F.lit(1)).alias("rows"), F.min("epoch_second").alias("first"), F.max("epoch_second").alias("last"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_notes": p6_notes}
