@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import queries
+from ledgerloom.llm import queries, text_queries
 
-_MODULES = (queries,)
+_MODULES = (queries, text_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
