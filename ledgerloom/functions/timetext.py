@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The first letters of the English months, in order.
@@ -48,31 +48,36 @@ def number_in(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
-def wall_time(text: Column) -> Column:
-    """STRUCT(local BIGINT, offset INT, zone STRING) of a trimmed text.
+def with_wall_time(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """``df`` with the column ``out``, STRUCT(local BIGINT, offset INT, zone STRING), read from a trimmed text.
 
     ``local``: the clock reading in seconds since 1970-01-01 00:00 of that same
     clock, fractions cut off. ``offset``: seconds east of UTC where the text
     says so. ``zone``: a zone's name in lower case where the text has one that
     is no fixed offset. A date alone is midnight. n/n/year is month first,
     n.n.year day first. NULL if the text is no date that exists.
+
+    The steps are columns of their own, each read several times by the next, so
+    that the patterns run once a row.
     """
-    parts = text
+    step = lambda name: f"__ll_{out}_{name}"
+    part = lambda i: F.get(step("parts"), F.lit(i))
+    at = lambda name: F.col(step(name))
+    number = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("0")).try_cast("int")
+    notation = text
     for pattern, fields in _NOTATIONS:
-        parts = F.regexp_replace(parts, pattern, fields)
-    p = F.when(parts.contains("|"), F.split(parts, r"\|"))
-    at = lambda i: F.get(p, F.lit(i))
-    number = lambda i: F.coalesce(F.nullif(at(i), F.lit("")), F.lit("0")).try_cast("int")
-    name = F.lower(F.left(at(1), F.lit(3)))
-    month = F.when(at(1).rlike(r"^\d"), number(1)).otherwise(F.floor((F.position(name, F.lit(MONTHS)) + 2) / 3).cast("int"))
-    half = F.upper(at(6))
-    hour = F.when(half == "", number(3)).when(number(3).between(1, 12), number(3) % 12 + F.when(half == "PM", 12).otherwise(0))
+        notation = F.regexp_replace(notation, pattern, fields)
+    work = df.withColumn(step("notation"), notation)
+    work = work.withColumn(step("parts"), F.when(at("notation").contains("|"), F.split(step("notation"), r"\|")))
+    work = work.withColumns({step("name"): part(1), step("hour"): number(3), step("half"): F.upper(part(6)), step("zone"): part(7)})
+    work = work.withColumn(step("signed"), F.split(F.regexp_replace(at("zone"), r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?$", "$1|$2|$3"), r"\|"))
+    digits = at("name").rlike(r"^\d")
+    month = F.when(digits, at("name").try_cast("int")).otherwise(F.floor((F.position(F.lower(F.left(at("name"), F.lit(3))), F.lit(MONTHS)) + 2) / 3).cast("int"))
+    hour = F.when(at("half") == "", at("hour")).when(at("hour").between(1, 12), at("hour") % 12 + F.when(at("half") == "PM", 12).otherwise(0))
     when = F.try_make_timestamp(number(0), month, number(2), hour, number(4), number(5).cast("decimal(8,6)"), F.lit("UTC"))
-    zone = at(7)
-    signed = F.regexp_replace(zone, r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?$", "$1|$2|$3")
-    sign = F.split(signed, r"\|")
-    hours, minutes = F.get(sign, F.lit(1)).try_cast("int"), F.coalesce(F.nullif(F.get(sign, F.lit(2)), F.lit("")), F.lit("0")).try_cast("int")
     known = F.create_map(*(F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 3600)))
-    offset = F.when(signed.contains("|"), F.when(signed.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)).otherwise(F.try_element_at(known, F.upper(zone)))
-    named = F.when((zone != "") & offset.isNull(), F.lower(zone))
-    return F.when(when.isNotNull(), F.struct(F.unix_seconds(when).alias("local"), offset.alias("offset"), named.alias("zone")))
+    sign = lambda i: F.get(step("signed"), F.lit(i))
+    east = F.when(sign(0) == "-", -1).otherwise(1) * (sign(1).try_cast("int") * 3600 + F.coalesce(F.nullif(sign(2), F.lit("")), F.lit("0")).try_cast("int") * 60)
+    work = work.withColumn(step("when"), F.unix_seconds(when)).withColumn(step("offset"), F.when(F.size(step("signed")) > 1, east).otherwise(F.try_element_at(known, F.upper(at("zone")))))
+    named = F.when((at("zone") != "") & at("offset").isNull(), F.lower(at("zone")))
+    return work.withColumn(out, F.when(at("when").isNotNull(), F.struct(at("when").alias("local"), at("offset").alias("offset"), named.alias("zone")))).drop(*(step(x) for x in ("notation", "parts", "name", "hour", "half", "zone", "signed", "when", "offset")))

@@ -11,7 +11,7 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.timetext import epoch_seconds, number_in, wall_time
+from ledgerloom.functions.timetext import epoch_seconds, number_in, with_wall_time
 from ledgerloom.sources.tables import BLANKS
 
 _DAY = 86_400
@@ -39,13 +39,18 @@ def zone_table(spark: SparkSession, first_year: int, last_year: int) -> DataFram
     As large as the time zone database: about 600 zones for each year, whatever
     the data.
     """
+    return spark.createDataFrame(_zone_rows(first_year, last_year), "zone string, year int, intervals array<struct<from:bigint,until:bigint,offset:int>>", verifySchema=False)
+
+
+@lru_cache
+def _zone_rows(first_year: int, last_year: int) -> list[tuple]:
     rows = []
     for name in sorted(available_timezones()):
         spans = zone_intervals(name, first_year, last_year)
         for year in range(first_year, last_year + 1):
             a, b = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (year, year + 1))
             rows.append((name.lower(), year, [s for s in spans if s[0] < b + 2 * _DAY and s[1] > a - 2 * _DAY]))
-    return spark.createDataFrame(rows, "zone string, year int, intervals array<struct<from:bigint,until:bigint,offset:int>>")
+    return rows
 
 
 def offset_at(local: Column, intervals: Column) -> Column:
@@ -62,7 +67,7 @@ def normalise_instants(df: DataFrame, fields: Sequence[str], row_zone: Column |
 
     The first of ``fields`` with a usable time counts. DOUBLE fields are epoch
     seconds, milliseconds or microseconds; STRING fields may be that or any of
-    the notations of ``wall_time``. A wall time without a zone is in ``row_zone``
+    the notations of ``with_wall_time``. A wall time without a zone is in ``row_zone``
     (an IANA name; NULL or unknown is UTC). Usable is an instant in UTC in
     ``years``, both included; all else is filler. Instants are floored to the
     second. ``time_note``: ``ambiguous`` or ``nonexistent`` for a wall time that
@@ -85,11 +90,15 @@ def normalise_instants(df: DataFrame, fields: Sequence[str], row_zone: Column |
             found.append((field, epoch_seconds(c.cast("double"), lo, hi), F.lit(None).cast("string")))
             continue
         text = F.btrim(c, F.lit(BLANKS))
-        work = work.withColumn(f"__ll_number{i}", epoch_seconds(number_in(text), lo, hi)).withColumn(f"__ll_wall{i}", F.when(F.col(f"__ll_number{i}").isNull(), wall_time(text)))
+        work = work.withColumn(f"__ll_text{i}", text).withColumn(f"__ll_value{i}", number_in(F.col(f"__ll_text{i}"))).withColumn(f"__ll_number{i}", epoch_seconds(F.col(f"__ll_value{i}"), lo, hi))
+        work = with_wall_time(work, F.when(F.col(f"__ll_number{i}").isNull(), F.col(f"__ll_text{i}")), f"__ll_wall{i}")
         wall = F.col(f"__ll_wall{i}")
         asked = F.when(wall["offset"].isNull(), F.coalesce(wall["zone"], "__ll_zone"))
         near = wall["local"].between(lo - 3 * _DAY, hi + 3 * _DAY)
-        work = work.withColumn(f"__ll_asked{i}", F.when(near, asked)).withColumn(f"__ll_year{i}", F.when(near & asked.isNotNull(), F.year(F.timestamp_seconds(wall["local"]))))
+        year = F.when(near & asked.isNotNull(), F.year(F.timestamp_seconds(wall["local"])))
+        # One row in, one row out: a generator's columns keep the optimizer from tracing the join keys
+        # back through all the steps above, which takes it half a minute.
+        work = work.select("*", F.inline(F.array(F.struct(F.when(near, asked).alias(f"__ll_asked{i}"), year.alias(f"__ll_year{i}")))))
         own = zones.select(F.col("zone").alias(f"__ll_asked{i}"), F.col("year").alias(f"__ll_year{i}"), F.col("intervals").alias(f"__ll_spans{i}"))
         work = work.join(own, [f"__ll_asked{i}", f"__ll_year{i}"], "left").withColumn(f"__ll_at{i}", F.when(F.col(f"__ll_spans{i}").isNotNull(), offset_at(wall["local"], F.col(f"__ll_spans{i}"))))
         at = F.col(f"__ll_at{i}")
