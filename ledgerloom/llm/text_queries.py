@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.leaks import find_leaks
 from ledgerloom.llm.mixture import Share, mix_sources
 from ledgerloom.llm.pieces import split_oversized
 from ledgerloom.llm.tokens import PATTERN, token_count
@@ -66,3 +67,11 @@ SQL = {
     "p8_found": _MIX_SQL + "SELECT mix_id, source FROM r WHERE max_repeats::HUGEINT * available * 100000 < total * budget_percent * target_permille",
     "p9_found": _CUT_SQL + f"SELECT doc_id, 'over_limit' issue FROM d UNION ALL SELECT DISTINCT doc_id, 'no_boundary' FROM s WHERE {_TOKENS_SQL} > 400",
 }
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry a passage of an evaluation text, and which."""
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "eval_id", "review")
+
+
+QUERIES |= {"p7_found": p7_found}
