@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_problems
+from ledgerloom.plans import core_problems, ingest
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, ingest)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
