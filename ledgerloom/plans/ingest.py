@@ -10,17 +10,23 @@ from ledgerloom.sources.durable import scratch_path
 from ledgerloom.sources.files import read_json_lines, update_by_key, write_json_lines
 from ledgerloom.sources.tables import table
 
-QUERIES, SQL = {}, {}
+def _register():
+    """A module's registries and the decorator that fills them: ``@query(sql)``; without SQL a query is tested on fixtures."""
+    queries, sqls = {}, {}
 
+    def query(sql: str | None = None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+        return register
 
-    return register
+    return queries, sqls, query
+
+
+QUERIES, SQL, query = _register()
 
 
 @query("SELECT event_id, user_id, event_type, round(value, 6) AS value, json_extract_string(props, '$.k')::BIGINT k FROM events")

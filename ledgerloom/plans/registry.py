@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_problems, ingest
+from ledgerloom.plans import codes, core_problems, ingest, timelines
 
-_MODULES = (core_problems, ingest)
+_MODULES = (core_problems, ingest, timelines, codes)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
