@@ -56,7 +56,7 @@ def best_of_grid(df: DataFrame, grid: DataFrame, thresholds: dict[str, str], dec
     table as large as the product of the grid's axes, however many rows there are.
     """
     axes = {x: sorted(r[0] for r in grid.select(g).distinct().collect()) for x, g in thresholds.items()}  # the grid is a parameter
-    reached = {x: F.size(F.filter(F.array(*(F.lit(float(v)) for v in values)), lambda v, x=x: v <= F.col(x))) for x, values in axes.items()}
+    reached = {x: sum((F.when(F.col(x) >= float(v), 1).otherwise(0) for v in values), F.lit(0)) for x, values in axes.items()}
     flags = [c for c in df.columns if c not in thresholds and c not in (truth, yes, no)]
     cells = df.groupBy(*(r.alias(f"at_{x}") for x, r in reached.items()), *flags, F.col(truth).alias("truth")).agg(F.count(F.lit(1)).alias("n"), F.sum(yes).alias("yes"), F.sum(no).alias("no"))
     met = grid.crossJoin(F.broadcast(cells))  # parameters times cells of parameters

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import codes, core_problems, ingest, rankings, timelines
+from ledgerloom.plans import codes, core_problems, ingest, rankings, statistics, streams, texts, timelines
 
-_MODULES = (core_problems, ingest, timelines, codes, rankings)
+_MODULES = (core_problems, ingest, timelines, codes, rankings, statistics, texts, streams)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
