@@ -9,7 +9,8 @@ from ledgerloom.functions.scores import cosine, l2_normalised, shared_levels, sh
 from ledgerloom.operators import codes as K
 from ledgerloom.operators.drawing import expanded
 from ledgerloom.plans.ingest import _register
-from ledgerloom.plans.views import C, S, codes, goals, interactions, sequences
+from ledgerloom.plans.views import C, S, codes, goals, sequences
+from ledgerloom.sources.durable import durable
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL, query = _register()
@@ -154,17 +155,22 @@ d AS (SELECT u.user_id, cat.item_id, min(j) j FROM g u, (SELECT count(*) n FROM
 u AS (SELECT user_id, item_id, pos FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS pos FROM d) WHERE pos <= {_NEG} UNION ALL SELECT user_id, target, 0 FROM g)"""
 
 
-def universe(spark, d):
-    """(user_id, item_id, pos, target): the target at 0 and the drawn items after it."""
+def _drawn(spark, d):
+    """The universe, the sequences and the targets of all customers: (user_id, item_id, pos, target) with the
+    target at 0 and the drawn items after it."""
     from ledgerloom.operators.numbering import numbered
 
-    goal = goals(spark, d)
+    sequence = durable(sequences(spark, d), "sequences")
+    goal = goals(sequence)
     catalog = numbered(table(spark, d, "part").select(F.lit(0).alias("all"), F.col("p_partkey").alias("item_id")), ["all"], ["item_id"], "idx").select("item_id", (F.col("idx") - 1).alias("idx"))
     size = catalog.count()
-    seen = interactions(spark, d).select("user_id", "item_id").distinct()
     draw = (F.col("user_id") * 7919 + F.col("try") * 104729 + (F.col("user_id") % 1009) * F.col("try") * F.col("try")) % size
-    drawn = expanded(goal, "user_id", catalog, seen, draw, _NEG, _TRIES)
-    return drawn.unionByName(goal.select("user_id", F.col("target").alias("item_id"), F.lit(0).cast("bigint").alias("pos"))).join(goal, "user_id")
+    drawn = expanded(goal, "user_id", catalog, sequence.select("user_id", "item_id"), draw, _NEG, _TRIES)
+    return drawn.unionByName(goal.select("user_id", F.col("target").alias("item_id"), F.lit(0).cast("bigint").alias("pos"))).join(goal, "user_id"), sequence, goal
+
+
+def universe(spark, d):
+    return _drawn(spark, d)[0]
 
 
 @query(f"WITH {U} SELECT user_id, item_id, pos FROM u")
@@ -185,14 +191,18 @@ rk AS (SELECT sc.*, target, row_number() OVER (PARTITION BY user_id ORDER BY sco
 
 def ranked(spark, d):
     """(user_id, item_id, pos, score, target, rank): the universe by its codes' likeness to the user's first 20 other items."""
+    return _ranked(spark, d)[0]
+
+
+def _ranked(spark, d):
     from pyspark.sql import Window
 
-    u, c = universe(spark, d), codes(spark, d)
-    history = sequences(spark, d).join(goals(spark, d), "user_id").where("pos <= 20 AND item_id != target").join(c, "item_id")
+    (u, sequence, goal), c = _drawn(spark, d), codes(spark, d)
+    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target").join(c, "item_id")
     scores = K.matched_scores(u.drop("target").join(c, "item_id"), history, "user_id").withColumn("score", F.round("score", 6))
     # A universe is bounded by its draw.
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "pos")
-    return scores.withColumn("rank", F.row_number().over(order)).join(goals(spark, d), "user_id")
+    return scores.withColumn("rank", F.row_number().over(order)).join(goal, "user_id"), sequence
 
 
 @query(f"WITH {_SCORE} SELECT user_id, item_id, score, \"rank\" FROM rk")
@@ -241,8 +251,8 @@ def oracle_geometry(spark, d):
 _MODE = f"{S}, {C}, m AS (SELECT user_id, c0 AS prefix, count(*) n, min(pos) first FROM s JOIN c USING (item_id) GROUP BY 1, 2), hp AS (SELECT user_id, prefix, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) r FROM m)"
 
 
-def _prefixes(spark, d):
-    m = sequences(spark, d).join(codes(spark, d), "item_id").groupBy("user_id", F.col("c0").alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+def _prefixes(spark, d, sequence=None):
+    m = (sequences(spark, d) if sequence is None else sequence).join(codes(spark, d), "item_id").groupBy("user_id", F.col("c0").alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     heap = m.groupBy("user_id").agg(bounded_heap(F.struct((-F.col("n")).alias("fewer"), "first", "prefix"), 3).alias("h"))
     return heap.select("user_id", F.posexplode("h").alias("r", "h")).select("user_id", (F.col("r") + 1).cast("bigint").alias("r"), "h.prefix", (-F.col("h.fewer")).alias("n"))
 
@@ -259,8 +269,9 @@ _POOL = f"{U}, {C}, m AS (SELECT user_id, c0 AS prefix, count(*) n, min(pos) fir
 @query(f"WITH {_POOL} SELECT u.user_id, u.item_id, hp.r FROM u JOIN c USING (item_id) JOIN hp ON hp.user_id = u.user_id AND hp.prefix = c.c0 WHERE hp.r <= 3")
 def sid_prefix_in_pool(spark, d):
     """Candidates under one of the user's three favourite prefixes."""
-    pool = universe(spark, d).join(codes(spark, d), "item_id").select("user_id", "item_id", F.col("c0").alias("prefix"))
-    return pool.join(_prefixes(spark, d), ["user_id", "prefix"]).select("user_id", "item_id", "r")
+    drawn, sequence, _ = _drawn(spark, d)
+    pool = drawn.join(codes(spark, d), "item_id").select("user_id", "item_id", F.col("c0").alias("prefix"))
+    return pool.join(_prefixes(spark, d, sequence), ["user_id", "prefix"]).select("user_id", "item_id", "r")
 
 
 @query("WITH " + _SCORE + """, m AS (SELECT user_id, c0 AS prefix, count(*) n, min(pos) first FROM s JOIN c USING (item_id) GROUP BY 1, 2), hp AS (SELECT user_id, prefix, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) r FROM m),
@@ -268,8 +279,9 @@ w AS (SELECT rk.user_id, rk.item_id, score, "rank", concat_ws(',', c0, c1, c2) c
 SELECT user_id, count(*) FILTER (hit)::BIGINT hits, (count(*) - count(DISTINCT code))::BIGINT collisions, arg_min(item_id, "rank") best, round(max(score), 6) score FROM w GROUP BY 1""")
 def retrieval_trace(spark, d):
     """Per user the whole protocol: favourite prefixes, their hits in the pool, code collisions, scores."""
-    pool = ranked(spark, d).join(codes(spark, d), "item_id").withColumn("prefix", F.col("c0"))
-    met = pool.join(_prefixes(spark, d).select("user_id", "prefix", "r"), ["user_id", "prefix"], "left")
+    scored, sequence = _ranked(spark, d)
+    pool = scored.join(codes(spark, d), "item_id").withColumn("prefix", F.col("c0"))
+    met = pool.join(_prefixes(spark, d, sequence).select("user_id", "prefix", "r"), ["user_id", "prefix"], "left")
     return met.groupBy("user_id").agg(
         F.count("r").alias("hits"), (F.count(F.lit(1)) - F.countDistinct(*K.LEVELS)).alias("collisions"), F.min_by("item_id", "rank").alias("best"), F.round(F.max("score"), 6).alias("score")
     )
@@ -284,8 +296,9 @@ SELECT user_id, item_id, round(avg(sim), 6) score FROM q3 WHERE r <= 3 GROUP BY
 def embedding_rescore(spark, d):
     """Mean of each candidate's three best similarities to the user's first 20 other items."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    history = sequences(spark, d).join(goals(spark, d), "user_id").where("item_id != target AND pos <= 20").join(e, "item_id").select("user_id", F.col("embedding").alias("past"))
-    pairs = universe(spark, d).join(e, "item_id").join(history, "user_id").select("user_id", "item_id", cosine(F.col("embedding"), F.col("past")).alias("sim"))
+    drawn, sequence, goal = _drawn(spark, d)
+    history = sequence.join(goal, "user_id").where("item_id != target AND pos <= 20").join(e, "item_id").select("user_id", F.col("embedding").alias("past"))
+    pairs = drawn.join(e, "item_id").join(history, "user_id").select("user_id", "item_id", cosine(F.col("embedding"), F.col("past")).alias("sim"))
     best = pairs.groupBy("user_id", "item_id").agg(bounded_heap(-F.col("sim"), 3).alias("h"))
     return best.select("user_id", "item_id", F.round(-F.aggregate("h", F.lit(0.0), lambda s, x: s + x) / F.size("h"), 6).alias("score"))
 

@@ -8,7 +8,7 @@ from ledgerloom.operators import timelines as L
 from ledgerloom.operators.harmonise import first_filled
 from ledgerloom.operators.numbering import counts_before, numbered
 from ledgerloom.plans.ingest import _register
-from ledgerloom.plans.views import CONDITIONS, C, G, S, T, X, candidates, codes, goals, interactions, sequences
+from ledgerloom.plans.views import CONDITIONS, C, G, S, T, X, candidates, codes, goals, interactions, kept_interactions, sequences
 from ledgerloom.plans.views import I as INTERACTIONS
 from ledgerloom.sources.tables import table
 
@@ -70,13 +70,15 @@ _LAST = f"WITH {G}, h AS (SELECT user_id, i.item_id, i.ts, row_number() OVER (PA
 
 
 def _timed(spark, d):
-    return L.task_times(goals(spark, d), interactions(spark, d))
+    """The customers' tasks with their times, and the log."""
+    log = kept_interactions(spark, d)
+    return L.task_times(goals(sequences(spark, d, log)), log), log
 
 
 @query(_LAST + " SELECT user_id, back, item_id, ts FROM h WHERE back <= 10")
 def last_n_history(spark, d):
     """The ten interactions before the task's time."""
-    return L.last_n_before(_timed(spark, d), interactions(spark, d), 10)
+    return L.last_n_before(*_timed(spark, d), 10)
 
 
 _COUNTS = f"""{G}, p AS (SELECT user_id, target, task_time, count(*) FILTER (i.ts < task_time)::BIGINT AS before, count(*) FILTER (i.ts < task_time AND i.ts >= task_time - 90 * 86400)::BIGINT recent,
@@ -87,13 +89,13 @@ _FLAGS = "true AS classic, before <= 5 AS cold_start_user, item_before <= 5 AS c
 
 @query(f"WITH {_COUNTS} SELECT user_id, before, recent, outside FROM p")
 def recency_window_counts(spark, d):
-    return L.profile(_timed(spark, d), interactions(spark, d)).select("user_id", "before", "recent", "outside")
+    return L.profile(*_timed(spark, d)).select("user_id", "before", "recent", "outside")
 
 
 @query(f"WITH {_PROFILE} SELECT *, {_FLAGS} FROM q")
 def task_profile(spark, d):
     """Every customer's task with the counts known at its time and its conditions."""
-    return L.profile(_timed(spark, d), interactions(spark, d))
+    return L.profile(*_timed(spark, d))
 
 
 @query(f"WITH {_PROFILE}, f AS (SELECT {_FLAGS} FROM q) SELECT 'classic' AS \"condition\", count(*) FILTER (classic)::BIGINT n FROM f UNION ALL SELECT 'cold_start_user', count(*) FILTER (cold_start_user)::BIGINT FROM f UNION ALL SELECT 'cold_start_item', count(*) FILTER (cold_start_item)::BIGINT FROM f UNION ALL SELECT 'evolving_interest', count(*) FILTER (evolving_interest)::BIGINT FROM f")
@@ -104,7 +106,7 @@ def condition_counts(spark, d):
 
 @query(f"WITH {G} SELECT user_id, target, task_time FROM gt")
 def task_time_asof(spark, d):
-    return _timed(spark, d)
+    return _timed(spark, d)[0]
 
 
 @query(f"WITH {INTERACTIONS} SELECT user_id, item_id, max(ts) ts FROM i GROUP BY 1, 2")
@@ -115,7 +117,7 @@ def pair_last_time(spark, d):
 @query(f"WITH {_COUNTS} SELECT user_id, least(10, before)::BIGINT recent, greatest(0, before - 10)::BIGINT outside FROM p")
 def last_n_split(spark, d):
     """The window by number instead of time: the last ten count as recent."""
-    at = L.profile(_timed(spark, d), interactions(spark, d))
+    at = L.profile(*_timed(spark, d))
     return at.select("user_id", F.least(F.lit(10), "before").cast("bigint").alias("recent"), F.greatest(F.lit(0), F.col("before") - 10).cast("bigint").alias("outside"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.timelines import first_occurrences
+from ledgerloom.sources.durable import durable
 from ledgerloom.sources.tables import table
 
 #: Conditions in the order in which rows are dealt to them.
@@ -23,13 +24,18 @@ I = "i AS (SELECT o_custkey user_id, l_partkey item_id, epoch(o_orderdate)::BIGI
 S = I + ", s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) pos, count(*) OVER (PARTITION BY user_id) n FROM (SELECT user_id, item_id, min(ts) ts FROM i GROUP BY 1, 2))"
 
 
-def sequences(spark: SparkSession, d: str) -> DataFrame:
-    return first_occurrences(interactions(spark, d))
+def kept_interactions(spark: SparkSession, d: str) -> DataFrame:
+    """``interactions`` written once, for queries that read them several times."""
+    return durable(interactions(spark, d), "interactions")
 
 
-def goals(spark: SparkSession, d: str) -> DataFrame:
+def sequences(spark: SparkSession, d: str, log: DataFrame | None = None) -> DataFrame:
+    return first_occurrences(interactions(spark, d) if log is None else log)
+
+
+def goals(sequence: DataFrame) -> DataFrame:
     """(user_id, target): per customer the item seen first last."""
-    return sequences(spark, d).groupBy("user_id").agg(F.max_by("item_id", "pos").alias("target"))
+    return sequence.groupBy("user_id").agg(F.max_by("item_id", "pos").alias("target"))
 
 
 G = S + ", g AS (SELECT user_id, item_id target FROM s WHERE pos = n), gt AS (SELECT user_id, target, max(ts) task_time FROM g JOIN i USING (user_id) WHERE i.item_id = target GROUP BY 1, 2)"
