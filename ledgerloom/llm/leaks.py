@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.plainwords import plain_words
+from ledgerloom.session import ship_package
 
 #: Words of the shortest and longest pattern; a pattern grows while more than RARE places have it.
 SHORTEST, LONGEST, RARE = 3, 6, 8
@@ -267,6 +268,7 @@ def find_leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame,
     """
     rule = rule or Rule()
     spark = documents.sparkSession
+    ship_package(spark)
     rows = documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))
     schema = f"doc {documents.schema[doc_key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}"
     found = spark.createDataFrame([], schema)

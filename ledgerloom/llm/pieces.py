@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tokens import TOKEN, token_count
+from ledgerloom.session import ship_package
 
 _NATURAL = re.compile(r"\n|(?<=[.!?])\s")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
@@ -118,6 +119,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 400, overla
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half of limit")
+    ship_package(df.sparkSession)
     fields = [("piece", pa.int32()), ("pieces", pa.int32()), ("start", pa.int64()), ("own", pa.int64()), ("stop", pa.int64()), ("tokens", pa.int64()), ("cut", pa.string()), ("longest_stretch", pa.int64())]
     names = [n for n, _ in fields]
 
