@@ -76,3 +76,16 @@ def test_intervals_follow_each_other(zone):
     spans = zone_intervals(zone, 2010, 2012)
     assert all(a[1] - a[2] == b[0] - b[2] for a, b in zip(spans, spans[1:], strict=False))
     assert len(spans) == (1 if "Kolkata" in zone else 7)
+
+
+def test_tables_read_the_same_in_any_session_zone(spark, tmp_path, rows):
+    from ledgerloom.sources.tables import table
+
+    spark.sql("SELECT TIMESTAMP_NTZ '2012-03-04 05:06:07.25' AS t").write.parquet(str(tmp_path / "x.parquet"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert rows(table(spark, str(tmp_path), "x").select(F.unix_micros("t"))) == [(utc(2012, 3, 4, 5, 6, 7) * 1_000_000 + 250_000,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
