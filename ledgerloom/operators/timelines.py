@@ -58,13 +58,18 @@ def profile(tasks: DataFrame, log: DataFrame, days: int = 90, cold_user: int = 5
 
     before: the user's interactions strictly before; recent: those of the last
     ``days`` (the first instant of the window included); outside: the others;
-    item_before: the target's interactions before. Every count is a point on a
-    running total, see ``counts_before``.
+    item_before: the target's interactions before. Equal tasks come out once.
+
+    The three questions of a task are points on the running totals of its user
+    and its target; users and items share one timeline table, so there is one
+    pass over the log for all of them (``counts_before``).
     """
-    users, items = log.select("user_id", "ts"), log.select(F.col("item_id").alias("target"), "ts")
-    at = counts_before(tasks.withColumn("ts", F.col("task_time")), users, "user_id", "ts", "before")
-    at = counts_before(at.withColumn("ts", F.col("task_time") - days * DAY), users, "user_id", "ts", "outside")
-    at = counts_before(at.withColumn("ts", F.col("task_time")), items, "target", "ts", "item_before").drop("ts")
+    of = lambda kind, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))).alias("key")
+    point = lambda what, kind, c, shift=0: F.struct(F.lit(what).alias("what"), of(kind, c), (F.col("task_time") - shift).alias("ts"))
+    asked = tasks.select(F.struct(*tasks.columns).alias("task"), F.inline(F.array(point("before", "user", "user_id"), point("outside", "user", "user_id", days * DAY), point("item_before", "item", "target"))))
+    told = log.select(F.inline(F.array(F.struct(of("user", "user_id"), F.col("ts")), F.struct(of("item", "item_id"), F.col("ts")))))
+    counted = counts_before(asked, told, "key", "ts", "n")
+    at = counted.groupBy("task").agg(*(F.max(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("before", "outside", "item_before"))).select("task.*", "before", "outside", "item_before")
     recent = F.col("before") - F.col("outside")
     return at.select(
         *tasks.columns, "before", recent.alias("recent"), "outside", "item_before", F.lit(True).alias("classic"),
