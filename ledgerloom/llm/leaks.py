@@ -10,13 +10,13 @@ compared. Many stretches of documents are searched in step, so that each round
 is a handful of array operations.
 
 Occurrences of one evaluation text that lie on neighbouring diagonals of a
-document make a candidate, which is aligned word by word.
+document make a candidate, which is aligned exactly.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,6 +59,7 @@ class Searcher:
     texts: list[np.ndarray]  # their words' numbers, standard phrases left out
     skipped: list[np.ndarray]  # how many words were left out before each word
     vocabulary: dict[str, int]
+    rule: Rule
     shift: np.ndarray = field(init=False)
     levels: list[tuple] = field(init=False)
 
@@ -126,44 +127,53 @@ class Searcher:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
-def aligned(text: np.ndarray, skipped: np.ndarray, document: np.ndarray, place: int, at: int, rule: Rule) -> bool:
-    """Whether the passage of ``text`` found at ``place`` stands around position ``at`` of ``document``.
+def aligned(text: np.ndarray, skipped: np.ndarray, document: np.ndarray, starts: Iterable[int], rule: Rule) -> bool:
+    """Whether a passage of ``text`` whose first word found is at one of ``starts`` stands in ``document``; exact.
 
-    From there the two are followed in both directions; where they differ, the
-    nearest two words in a row that agree are looked for, else the nearest one.
+    Ends of all alignments are followed at once, as bits of a number with a bit for each word of the document:
+    ``rows[i][e]`` has those that end with word i of the text and lack e of the words from the start to it. The
+    passage is there if ``least`` words are found and no more are lacking than the stretch allows.
     """
-    a, b, n, m = text.tolist(), document.tolist(), len(text), len(document)
-    hit = bytearray(n)
-    for step in (1, -1):
-        i, j = (place, at) if step > 0 else (place - 1, at - 1)
-        while 0 <= i < n and 0 <= j < m:
-            if a[i] == b[j]:
-                hit[i] = 1
-                i, j = i + step, j + step
-                continue
-            single, double = None, None
-            most = rule.stretch - rule.least
-            left_out = int(skipped[i] if step > 0 else skipped[i + 1] if i + 1 < n else 0)
-            for total in range(1, most + rule.between + left_out + 1):
-                for di in range(min(total, most) + 1):
-                    dj = total - di
-                    x, y = i + step * di, j + step * dj
-                    if dj > rule.between + left_out or not (0 <= x < n and 0 <= y < m) or a[x] != b[y]:
-                        continue
-                    single = single or (x, y)
-                    if 0 <= x + step < n and 0 <= y + step < m and a[x + step] == b[y + step]:
-                        double = (x, y)
-                        break
-                if double:
-                    break
-            if not (double or single):
+    n, slack = len(text), rule.stretch - rule.least
+    if n < rule.stretch:
+        return False
+    where: dict[int, int] = defaultdict(int)
+    for j, w in enumerate(document.tolist()):
+        where[w] |= 1 << j
+    bits = [where.get(w, 0) for w in text.tolist()]
+    left_out = np.cumsum(skipped).tolist()
+
+    def spread(ends: int, width: int) -> int:
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            ends |= ends << step
+            done += step
+        return ends << 1
+
+    for s in starts:
+        rows = [[bits[s]] + [0] * slack]
+        ahead = [[spread(x, rule.between + 1) if x else 0 for x in rows[0]]]
+        alive = s if bits[s] else -n
+        for i in range(s + 1, min(s + rule.stretch, n)):
+            if i - alive > slack + 1:
                 break
-            i, j = double or single
-    count = best = 0
-    for i in range(n):
-        count += hit[i] - (hit[i - rule.stretch] if i >= rule.stretch else 0)
-        best = max(best, count)
-    return best >= rule.least and n >= rule.stretch
+            row = [0] * (slack + 1)
+            if bits[i]:
+                for d in range(min(slack, i - s - 1) + 1):
+                    gone = left_out[i] - left_out[i - 1 - d]
+                    for e in range(d, slack + 1):
+                        if rows[-1 - d][e - d]:
+                            row[e] |= spread(rows[-1 - d][e - d], rule.between + 1 + gone) if gone else ahead[-1 - d][e - d]
+                row = [x & bits[i] for x in row]
+            rows.append(row)
+            ahead.append([spread(x, rule.between + 1) if x else 0 for x in row])
+            for e, x in enumerate(row):
+                if x:
+                    alive = i
+                    if i - s + 1 - e >= rule.least:
+                        return True
+    return False
 
 
 def leaked(searcher: Searcher, documents: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
@@ -198,15 +208,12 @@ def leaked(searcher: Searcher, documents: list[np.ndarray], rule: Rule) -> list[
         pair = (int(doc[a]), int(text[a]))
         if pair in out:
             continue
-        document = documents[pair[0]]
-        tried = -1
-        for k in range(a, b):  # from each pattern that the passage around an earlier one has not reached
-            if place[k] < tried:
-                continue
-            if aligned(searcher.texts[pair[1]], searcher.skipped[pair[1]], document, int(place[k]), int(pos[k] - begin[pair[0]]), rule):
-                out.add(pair)
-                break
-            tried = int(place[k]) + rule.stretch // 2
+        text_words, left_out = searcher.texts[pair[1]], searcher.skipped[pair[1]]
+        reach = rule.stretch * (rule.between + 2) + int(left_out.sum())
+        low, high = max(int(pos[a:b].min() - begin[pair[0]]) - reach, 0), int(pos[a:b].max() - begin[pair[0]]) + reach
+        starts = range(max(int(place[a]) - rule.stretch, 0), min(int(place[b - 1]) + LONGEST, len(text_words) - rule.least + 1))
+        if aligned(text_words, left_out, documents[pair[0]][low:high], starts, rule):
+            out.add(pair)
     return sorted(out)
 
 
@@ -254,7 +261,7 @@ def _searcher(rows: list, rule: Rule) -> Searcher:
         ids.append(row["key"])
         texts.append(np.array(kept, dtype=np.int64))
         skipped.append(np.array(gaps, dtype=np.int64))
-    return Searcher(ids, texts, skipped, dict(vocabulary))
+    return Searcher(ids, texts, skipped, dict(vocabulary), rule)
 
 
 def find_leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, rule: Rule | None = None, block: int = 4000) -> DataFrame:
