@@ -1,16 +1,15 @@
 """Evaluation texts leaking into training text.
 
 Both sides are reduced to words (``plain_words``). The patterns searched for are
-short runs of an evaluation text's words: three, or as many more, up to six, as
-make a run rare among the evaluation texts. All of them are searched at once
-after Wu and Manber, with words in place of letters: a shift table over blocks
-of two words tells how far the search may skip, a block with shift 0 selects the
-patterns whose first three words end in it, and the words themselves are
-compared. Many stretches of documents are searched in step, so that each round
-is a handful of array operations.
-
-Occurrences of one evaluation text that lie on neighbouring diagonals of a
-document make a candidate, which is aligned exactly.
+pairs of neighbouring words of an evaluation text, which may stand a few words
+apart in a document. All of them are searched at once with the block table of
+Wu and Manber, with words in place of letters: a pattern is one block of two
+words, so that the table tells only whether a block is a pattern. Each step is an
+array operation over many documents.
+
+A leak lacks few words of its passage, so that of the passage's rarest pairs a
+known number must stand within a bounded stretch of the document. Where they do
+is a candidate; no leak is without them. Candidates are aligned exactly.
 """
 
 from __future__ import annotations
@@ -27,16 +26,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.plainwords import plain_words
 from ledgerloom.session import ship_package
 
-#: Words of the shortest and longest pattern; a pattern grows while more than RARE places have it.
-SHORTEST, LONGEST, RARE = 3, 6, 8
-#: Words of a block of the shift table, and its slots.
-BLOCK, SLOTS = 2, 1 << 21
-#: Words a search lane covers.
-LANE = 256
-#: How far occurrences of one passage may drift apart in a document, in words.
-DRIFT = 12
-#: Words that a candidate's patterns must cover.
-COVER = 8
+#: Slots of the block table.
+SLOTS = 1 << 21
+#: How many of the pairs kept of a passage a leak must have at least; more make fewer candidates and more hits.
+SURE = 6
 
 
 @dataclass(frozen=True)
@@ -60,71 +53,101 @@ class Searcher:
     skipped: list[np.ndarray]  # how many words were left out before each word
     vocabulary: dict[str, int]
     rule: Rule
-    shift: np.ndarray = field(init=False)
-    levels: list[tuple] = field(init=False)
+    needed: list[np.ndarray] = field(init=False)
 
     def __post_init__(self) -> None:
         self.size = len(self.vocabulary) + 1
         if self.size >= 1 << 20:
             raise ValueError("too many different words in one block of evaluation texts")
-        owner = np.concatenate([np.full(len(t), i) for i, t in enumerate(self.texts)] or [np.zeros(0, int)]).astype(np.int64)
-        words = np.concatenate(self.texts or [np.zeros(0, int)]).astype(np.int64)
-        place = np.concatenate([np.arange(len(t)) for t in self.texts] or [np.zeros(0, int)]).astype(np.int64)
-        length = np.array([len(t) for t in self.texts], dtype=np.int64)
-        at = np.flatnonzero(place + SHORTEST <= length[owner]) if len(owner) else np.zeros(0, int)
-        code = np.zeros(len(at), dtype=np.int64)
-        for k in range(SHORTEST):
-            code = code * self.size + words[at + k]
-        self.shift = np.full(SLOTS, SHORTEST - BLOCK + 1, dtype=np.int8)
-        for end in range(BLOCK, SHORTEST + 1):  # the block that ends at this word of a pattern's first SHORTEST
-            slots = self._slot(words[at + end - 2], words[at + end - 1])
-            np.minimum.at(self.shift, slots, SHORTEST - end)
-        self.levels = []
-        for n in range(SHORTEST, LONGEST + 1):
-            keys, group, count = np.unique(code, return_inverse=True, return_counts=True)
-            final = (count <= RARE) | (n == LONGEST)
-            more = place[at] + n + 1 <= length[owner[at]]
-            done = final[group] | ~more
-            order = np.argsort(group[done], kind="stable")
-            per = np.bincount(group[done], minlength=len(keys))
-            first = np.concatenate(([0], np.cumsum(per)))
-            self.levels.append((keys, first, owner[at][done][order], place[at][done][order]))
-            code = group[~done].astype(np.int64) * self.size + words[at[~done] + n] if n < LONGEST else code
-            at = at[~done]
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Keep the rarest pairs of neighbouring words of each passage, and how many of them a leak must have.
+
+        A word that a leak lacks costs two pairs, so that all but twice as many as it may lack are there.
+        Pairs with words left out between are not kept.
+        """
+        rule, lost = self.rule, 2 * (self.rule.stretch - self.rule.least)
+        code = [np.where(g[1:] > 0, -1, t[:-1] * self.size + t[1:]) for t, g in zip(self.texts, self.skipped, strict=True)]
+        every, turn, count = np.unique(np.concatenate([*code, np.full(1, -1)]), return_inverse=True, return_counts=True)
+        often = count[turn]
+        self.needed, self.reach, self.open, self.origin = [], 2 * rule.stretch + rule.stretch * rule.between, [], []
+        codes, places, begin, base = [], [], 0, 0
+        for k, c in enumerate(code):
+            self.origin.append(base)
+            windows = len(self.texts[k]) - rule.stretch + 1
+            rare = np.where(c < 0, np.iinfo(np.int64).max, often[begin : begin + len(c)])
+            begin += len(c)
+            keep = np.zeros(len(c), dtype=bool)
+            for s in range(windows):
+                keep[s + np.argsort(rare[s : s + rule.stretch - 1], kind="stable")[: lost + SURE]] = True
+                self.reach = max(self.reach, int(self.skipped[k][s : s + rule.stretch].sum()) + rule.stretch * (rule.between + 2))
+            keep &= c >= 0
+            many = np.concatenate(([0], np.cumsum(keep)))
+            need = np.array([many[s + rule.stretch - 1] - many[s] - lost for s in range(windows)], dtype=np.int64)
+            if windows > 0 and need.min() < 1:
+                self.open.append(k)
+            self.needed.append(need)
+            if windows > 0:
+                codes.append(c[keep])
+                places.append(base + np.flatnonzero(keep))
+            base += len(self.texts[k]) + rule.stretch  # no passage spans two texts
+        self.places = base + 1
+        code, place = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*places, np.zeros(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.pairs, first = np.unique(code[order], return_index=True)
+        self.pair_first, self.pair_place = np.concatenate((first, [len(code)])), place[order]
+        self.pair_slots = np.zeros(SLOTS, dtype=bool)
+        self.pair_slots[self._slot(self.pairs // self.size, self.pairs % self.size)] = True
+        self.origin = np.array(self.origin, dtype=np.int64)
+        self.least = np.array([n.min() if len(n) else 1 for n in self.needed], dtype=np.int64)
+
+    def passages(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(document, text, position in the document, starts of the text's passages): wherever a leak may begin, within two
+        ``reach`` from the position."""
+        keys, shift = [], int(self.reach - 1).bit_length()
+        first_block = np.concatenate(([0], np.cumsum((np.diff(begin) >> shift) + 2)))
+        for gap in range(1, self.rule.between + 2):
+            at = np.flatnonzero(self.pair_slots[self._slot(words[:-gap], words[gap:])])
+            code = words[at] * self.size + words[at + gap]
+            found = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
+            doc = np.searchsorted(begin, at, side="right") - 1
+            same = (self.pairs[found] == code) & (at + gap < begin[doc + 1]) if len(self.pairs) else np.zeros(len(at), dtype=bool)
+            at, found, doc = at[same], found[same], doc[same]
+            many = self.pair_first[found + 1] - self.pair_first[found]
+            entry = np.repeat(self.pair_first[found] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(at) else np.zeros(0, np.int64)
+            block = first_block[doc] + ((at - begin[doc]) >> shift) + 1
+            keys.append(np.repeat(block, many) * self.places + self.pair_place[entry])
+        key = _distinct(np.concatenate(keys))
+        key = _distinct(np.concatenate((key, key - self.places)))  # a block and the one after it
+        text = np.searchsorted(self.origin, key % self.places, side="right") - 1
+        far = np.arange(len(key)) + np.maximum(self.least[text], 1) - 1
+        dense = far < len(key)
+        dense[dense] = key[far[dense]] - key[dense] <= self.rule.stretch - 2
+        group = key // self.places * len(self.texts) + text
+        for g in _distinct(group[dense]).tolist():
+            block, k = divmod(g, len(self.texts))
+            a, b = np.searchsorted(group, [g, g + 1])
+            there = np.zeros(len(self.texts[k]) + 1, dtype=np.int64)
+            there[key[a:b] % self.places - self.origin[k] + 1] = 1
+            many = np.cumsum(there)
+            starts = np.flatnonzero(many[self.rule.stretch - 1 : self.rule.stretch - 1 + len(self.needed[k])] - many[: len(self.needed[k])] >= self.needed[k])
+            if len(starts):
+                d = int(np.searchsorted(first_block, block, side="right")) - 1
+                yield d, k, max(int(block - first_block[d]) - 1, 0) << shift, starts
+        for k in self.open:  # too few pairs to tell: everywhere
+            for d in range(len(begin) - 1):
+                for at in range(0, int(begin[d + 1] - begin[d]), 1 << shift):
+                    yield d, k, at, np.arange(len(self.needed[k]))
 
     def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * 1_000_003 + b) & (SLOTS - 1)
 
-    def occurrences(self, words: np.ndarray, lanes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(position, text, place in the text, length) of all patterns in ``words``; lane k searches positions lanes[k] to ends[k]."""
-        at, stop, hits = lanes + SHORTEST - 1, ends, []
-        keep = at < stop
-        at, stop = at[keep], stop[keep]
-        while len(at):
-            skip = self.shift[self._slot(words[at - 1], words[at])]
-            hits.append(at[skip == 0])
-            at = at + np.maximum(skip, 1)
-            keep = at < stop
-            at, stop = at[keep], stop[keep]
-        hit = np.concatenate(hits) - (SHORTEST - 1) if hits else np.zeros(0, int)
-        code = np.zeros(len(hit), dtype=np.int64)
-        for k in range(SHORTEST):
-            code = code * self.size + words[hit + k]
-        out = []
-        for n, (keys, first, owner, place) in enumerate(self.levels, SHORTEST):
-            if not len(keys) or not len(hit):
-                break
-            found = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            same = keys[found] == code
-            hit, found = hit[same], found[same]
-            many = first[found + 1] - first[found]
-            total = int(many.sum())
-            entry = np.repeat(first[found] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(total)
-            out.append((np.repeat(hit, many), owner[entry], place[entry], np.full(total, n)))
-            on = hit + n < len(words)
-            hit, found = hit[on], found[on]
-            code = found * self.size + words[np.minimum(hit + n, len(words) - 1)]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats; ``np.unique`` hashes, which takes many times as long here."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def aligned(text: np.ndarray, skipped: np.ndarray, document: np.ndarray, starts: Iterable[int], rule: Rule) -> bool:
@@ -183,37 +206,14 @@ def leaked(searcher: Searcher, documents: list[np.ndarray], rule: Rule) -> list[
     words = np.zeros(int(begin[-1]), dtype=np.int64)
     for b, x in zip(begin, documents, strict=False):
         words[b : b + len(x)] = x
-    lanes = np.arange(0, len(words), LANE)
-    pos, text, place, length = searcher.occurrences(words, lanes, np.minimum(lanes + LANE + SHORTEST - 1, len(words)))
-    if not len(pos):
-        return []
-    doc = np.searchsorted(begin, pos, side="right") - 1
-    diagonal = pos - place
-    order = np.lexsort((diagonal, text, doc))
-    pos, text, place, length, doc, diagonal = (x[order] for x in (pos, text, place, length, doc, diagonal))
-    new = np.ones(len(pos), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (diagonal[1:] - diagonal[:-1] > DRIFT)
-    cluster = np.cumsum(new) - 1
-    order = np.lexsort((place, cluster))
-    pos, text, place, length, doc, cluster = (x[order] for x in (pos, text, place, length, doc, cluster))
-    gain = length.copy()  # words that a pattern covers and the next one of its cluster does not
-    inner = cluster[1:] == cluster[:-1]
-    gain[:-1][inner] = np.minimum(length[:-1][inner], place[1:][inner] - place[:-1][inner])
-    cover = np.bincount(cluster, weights=gain).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], ~inner)))
-    last = np.concatenate((first[1:], [len(pos)]))
     out = set()
-    for c in np.flatnonzero(cover >= COVER):
-        a, b = int(first[c]), int(last[c])
-        pair = (int(doc[a]), int(text[a]))
-        if pair in out:
+    for d, k, at, starts in searcher.passages(words, begin):
+        if (d, k) in out:
             continue
-        text_words, left_out = searcher.texts[pair[1]], searcher.skipped[pair[1]]
-        reach = rule.stretch * (rule.between + 2) + int(left_out.sum())
-        low, high = max(int(pos[a:b].min() - begin[pair[0]]) - reach, 0), int(pos[a:b].max() - begin[pair[0]]) + reach
-        starts = range(max(int(place[a]) - rule.stretch, 0), min(int(place[b - 1]) + LONGEST, len(text_words) - rule.least + 1))
-        if aligned(text_words, left_out, documents[pair[0]][low:high], starts, rule):
-            out.add(pair)
+        if starts[-1] == len(searcher.texts[k]) - rule.stretch:  # the last passage may lack its first words
+            starts = [*starts.tolist(), *range(int(starts[-1]) + 1, len(searcher.texts[k]) - rule.least + 1)]
+        if aligned(searcher.texts[k], searcher.skipped[k], documents[d][at : at + 4 * searcher.reach], starts, rule):
+            out.add((d, k))
     return sorted(out)
 
 
