@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scores import cosine, dot, shared_levels
@@ -50,6 +50,34 @@ def matched_scores(candidates: DataFrame, history: DataFrame, key: str) -> DataF
     return met.groupBy(key, "item_id", "pos").agg(F.max(score).alias("score"))
 
 
+def _met(candidates: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Each candidate with each item of the history of its key: ``alike`` (codes; NULL without one on either side) and ``near`` (cosine)."""
+    past = history.select(key, *(F.col(c).alias(f"h{c}") for c in LEVELS), F.col("embedding").alias("past"))
+    alike = F.when(F.col("c0").isNotNull() & F.col("hc0").isNotNull(), shared_levels([F.col(c) for c in LEVELS], [F.col(f"h{c}") for c in LEVELS]))
+    return candidates.join(past, key, "left").withColumns({"alike": alike, "near": cosine(F.col("embedding"), F.col("past"))})
+
+
+def blended_scores(candidates: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """(key, item_id, pos, score): 0.7 of the best likeness of codes and 0.3 of the best cosine, the former alone where
+    there is no cosine; 0 without a code of the candidate or in the history. Both sides bring codes and embedding, NULL
+    where they have none; histories must be bounded per key."""
+    best = _met(candidates, history, key).groupBy(key, "item_id", "pos").agg(F.max("alike").alias("alike"), F.max("near").alias("near"))
+    return best.select(key, "item_id", "pos", F.coalesce(0.7 * F.col("alike") + 0.3 * F.col("near"), "alike", F.lit(0.0)).alias("score"))
+
+
+def rescored(candidates: DataFrame, history: DataFrame, key: str, best: int = 3) -> DataFrame:
+    """(key, item_id, pos, score, rank): by the mean of the ``best`` largest cosines (-1 without an embedding), then by likeness
+    of codes, then by ``pos``. Keys without embeddings in their history are left out."""
+    from ledgerloom.functions.aggregates import bounded_heap
+
+    met = _met(candidates.join(history.where("embedding IS NOT NULL").select(key), key, "left_semi"), history, key)
+    s = met.groupBy(key, "item_id", "pos").agg(bounded_heap(-F.col("near"), best).alias("h"), F.coalesce(F.max("alike"), F.lit(0.0)).alias("alike"))
+    mean = F.when(F.size("h") > 0, -F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / F.size("h")).otherwise(-1.0)
+    s = s.select(key, "item_id", "pos", F.round(mean, 9).alias("score"), F.round("alike", 9).alias("alike"))
+    # A key's candidates are bounded by its draw.
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.desc("alike"), "pos"))).drop("alike")
+
+
 def quantised(vectors: DataFrame, item: str, vector: str, books: Sequence[DataFrame]) -> DataFrame:
     """(item, code0, code1, ..): residual quantisation with given codebooks (code, centre).
 

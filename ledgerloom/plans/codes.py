@@ -212,20 +212,31 @@ def sid_rank(spark, d):
 
 @query(f"WITH {_SCORE} SELECT user_id, item_id, \"rank\" FROM rk WHERE \"rank\" <= 5")
 def shortlist_topk(spark, d):
-    return ranked(spark, d).where("rank <= 5").select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
+    return _topk(ranked(spark, d))
+
+
+def _topk(r):
+    return r.where("rank <= 5").select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_SCORE}, t AS (SELECT user_id, min(\"rank\") FILTER (item_id = target) r FROM rk GROUP BY 1) SELECT count(*)::BIGINT tasks, round(avg((r <= 5)::INT), 6) recall_5, round(avg((r <= 10)::INT), 6) recall_10, round(avg(r), 6) mean_rank, quantile_cont(r, 0.5) median_rank, 0.25 random_5 FROM t")
 def shortlist_recall(spark, d):
     """How often the target is among the first; a random shortlist of 5 of 20 has it in a quarter of the cases."""
-    t = ranked(spark, d).groupBy("user_id").agg(F.min(F.when(F.col("item_id") == F.col("target"), F.col("rank"))).alias("r"))
+    return _recall(ranked(spark, d))
+
+
+def _recall(r):
+    t = r.groupBy("user_id").agg(F.min(F.when(F.col("item_id") == F.col("target"), F.col("rank"))).alias("r"))
     share = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6)
     return t.agg(F.count(F.lit(1)).alias("tasks"), share(5).alias("recall_5"), share(10).alias("recall_10"), F.round(F.avg("r"), 6).alias("mean_rank"), F.percentile("r", 0.5).alias("median_rank"), F.lit(0.25).alias("random_5"))
 
 
 @query(f"WITH {_SCORE} SELECT user_id, round(max(score), 6) top1, round(max(score) FILTER (\"rank\" = 1) - coalesce(max(score) FILTER (\"rank\" = 2), 0), 6) margin, round(stddev_pop(score), 6) deviation FROM rk GROUP BY 1")
 def sid_confidence(spark, d):
-    r = ranked(spark, d)
+    return _confidence(ranked(spark, d))
+
+
+def _confidence(r):
     at = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("score"))), F.lit(0.0))
     return r.groupBy("user_id").agg(F.round(F.max("score"), 6).alias("top1"), F.round(at(1) - at(2), 6).alias("margin"), F.round(F.stddev_pop("score"), 6).alias("deviation"))
 
@@ -279,7 +290,10 @@ w AS (SELECT rk.user_id, rk.item_id, score, "rank", concat_ws(',', c0, c1, c2) c
 SELECT user_id, count(*) FILTER (hit)::BIGINT hits, (count(*) - count(DISTINCT code))::BIGINT collisions, arg_min(item_id, "rank") best, round(max(score), 6) score FROM w GROUP BY 1""")
 def retrieval_trace(spark, d):
     """Per user the whole protocol: favourite prefixes, their hits in the pool, code collisions, scores."""
-    scored, sequence = _ranked(spark, d)
+    return _trace(spark, d, *_ranked(spark, d))
+
+
+def _trace(spark, d, scored, sequence):
     pool = scored.join(codes(spark, d), "item_id").withColumn("prefix", F.col("c0"))
     met = pool.join(_prefixes(spark, d, sequence).select("user_id", "prefix", "r"), ["user_id", "prefix"], "left")
     return met.groupBy("user_id").agg(
@@ -312,3 +326,57 @@ def rank_unknown_last(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.get("embedding", F.lit(0)).cast("double").alias("s0"))
     order = Window.partitionBy("user_id").orderBy(F.col("s0").isNull(), F.desc_nulls_last("s0"), "pos")
     return universe(spark, d).join(e, "item_id", "left").select("user_id", "item_id", F.row_number().over(order).cast("bigint").alias("rank"))
+
+
+# The same with the operator's blend of code and embedding likeness, which the SQL above leaves out.
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+
+
+def _blended(spark, d):
+    """As ``_ranked``, by the blend of likenesses."""
+    from pyspark.sql import Window
+
+    (u, sequence, goal), c, e = _drawn(spark, d), codes(spark, d), _vectors(spark, d)
+    coded = lambda x: x.join(c, "item_id", "left").join(e, "item_id", "left")
+    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target")
+    scores = K.blended_scores(coded(u.drop("target")), coded(history), "user_id").withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "pos")  # a universe is bounded by its draw
+    return scores.withColumn("rank", F.row_number().over(order)).join(goal, "user_id"), sequence
+
+
+@query()
+def sid_rank_blended(spark, d):
+    return _blended(spark, d)[0].select("user_id", "item_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def shortlist_topk_blended(spark, d):
+    return _topk(_blended(spark, d)[0])
+
+
+@query()
+def shortlist_recall_blended(spark, d):
+    return _recall(_blended(spark, d)[0])
+
+
+@query()
+def sid_confidence_blended(spark, d):
+    return _confidence(_blended(spark, d)[0])
+
+
+@query()
+def retrieval_trace_blended(spark, d):
+    return _trace(spark, d, *_blended(spark, d))
+
+
+@query()
+def embedding_rescore_rank(spark, d):
+    """Candidates by the mean of their three best similarities, -1 without a vector; then by code likeness, then in
+    their order. Users without vectors in their history have no ranking."""
+    (u, sequence, goal), c, e = _drawn(spark, d), codes(spark, d), _vectors(spark, d)
+    coded = lambda x: x.join(c, "item_id", "left").join(e, "item_id", "left")
+    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target")
+    return K.rescored(coded(u.drop("target")), coded(history), "user_id").select("user_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
