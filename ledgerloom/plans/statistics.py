@@ -113,12 +113,23 @@ _W = f"w AS (SELECT v.*, j AS round, ((run_index % 100003) * (j * 7919 + 31) + j
 @query(f"WITH {V}, {_W}, m AS (SELECT dataset, round, sum(weight * voi) / nullif(sum(weight), 0) m FROM z GROUP BY 1, 2) SELECT dataset, round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6)::DOUBLE p FROM m WHERE m IS NOT NULL GROUP BY 1")
 def paired_bootstrap(spark, d):
     """Mean gain over resamples of the runs: interval and two-sided p."""
-    z = Z.resampled(gains(spark, d), ROUNDS, "run_index")
+    return _bootstrapped(gains(spark, d), ROUNDS)
+
+
+def _bootstrapped(paired: DataFrame, rounds: int, mixed: bool = False) -> DataFrame:
+    z = Z.resampled(paired.select("run_index", "dataset", "voi"), rounds, "run_index", mixed)
     m = z.groupBy("dataset", "round").agg(F.try_divide(F.sum(F.col("weight") * F.col("voi")), F.sum("weight")).alias("m")).where("m IS NOT NULL")
     sign = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return m.groupBy("dataset").agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"), F.round(F.least(F.lit(1.0), 2 * F.least(sign(F.col("m") <= 0), sign(F.col("m") >= 0))), 6).alias("p"))
 
 
+@query()
+def paired_bootstrap_5000(spark, d):
+    """The same over the operator's 5000 resamples."""
+    v = gains(spark, d).select("run_index", "dataset", "voi")
+    return _bootstrapped(v.repartition(2 * spark.sparkContext.defaultParallelism), 5000, mixed=True)  # rows are few, resamples many
+
+
 _TH = "[0.05, 0.15, 0.3, 0.45, 0.6, 0.75]"
 
 
@@ -275,6 +286,23 @@ def sensitivity_sweep(spark, d):
     return e.join(F.broadcast(best), ["g_dense", "g_rich", "g_top1"]).select("g_margin", F.round("agreement", 6).alias("agreement"), F.round("earned", 6).alias("earned"))
 
 
+@query()
+def threshold_ci_grid(spark, d):
+    """Spread of the best review and richness thresholds over 200 resamples, the 960 settings searched in each; nearest ranks."""
+    return _threshold_spread(_signals(spark, d), 200)
+
+
+def _threshold_spread(signals: DataFrame, rounds: int) -> DataFrame:
+    grid = signals.sparkSession.createDataFrame([tuple(map(float, x)) for x in product(*GRID.values())], ", ".join(f"{k} double" for k in GRID)).coalesce(1)
+    s = signals.select("run_index", "reviews", "richness", "margin", "top1", (F.col("reviews") <= 5).alias("sparse"), (F.col("voi") > 0).alias("truth"), F.col("hmt").alias("yes"), F.col("hm").alias("no"))
+    decide = F.when(F.col("ge_reviews") & F.col("ge_richness"), False).when(F.col("sparse"), True).otherwise(F.col("ge_margin") | F.col("ge_top1"))
+    e = Z.best_of_grid(Z.resampled(s, rounds, "run_index", mixed=True).drop("run_index"), grid, {"reviews": "g_dense", "richness": "g_rich", "margin": "g_margin", "top1": "g_top1"}, decide, "truth", "yes", "no", "round", "weight")
+    best = e.groupBy("round").agg(F.min(F.struct((-F.col("agreement")).alias("a"), (-F.col("earned")).alias("e"), *GRID)).alias("b"))
+    sorts = best.agg(*(F.array_sort(F.collect_list(f"b.{g}")).alias(g) for g in ("g_dense", "g_rich")))  # as many values as rounds
+    at = lambda g, q: F.get(g, F.bround(F.lit(q) * (F.size(g) - 1), 0).cast("int"))
+    return sorts.select(F.inline(F.array(*(F.struct(F.lit(name).alias("threshold"), at(g, 0.025).alias("lo"), at(g, 0.975).alias("hi")) for name, g in (("reviews", "g_dense"), ("richness", "g_rich"))))))
+
+
 _RULES = ("or", "and", "first")
 
 
