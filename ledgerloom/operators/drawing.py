@@ -42,6 +42,19 @@ def by_hash(df: DataFrame, keys: Sequence[str], text: Column, n: int, tie: str)
     return numbered(marked, keys, ["__ll_h", tie]).where(F.col("pos") <= n).drop("__ll_h")
 
 
+def proportional_quotas(target: DataFrame, stratum: str, total: int, min_fillable: int) -> DataFrame:
+    """(stratum, quota): ``total`` dealt in proportion to the rows of ``target``, rounded half to even; strata below ``min_fillable`` get 0."""
+    counts = target.groupBy(stratum).agg(F.count(F.lit(1)).alias("__ll_n"))
+    share = F.col("__ll_n") / F.sum("__ll_n").over(Window.partitionBy(F.lit(0)))  # a row per stratum
+    return counts.select(stratum, F.when(F.col(stratum) < min_fillable, 0).otherwise(F.bround(share * total, 0)).cast("bigint").alias("quota"))
+
+
+def by_quota(df: DataFrame, stratum: str, text: Column, quotas: DataFrame, tie: str) -> DataFrame:
+    """The rows of each stratum with the smallest MD5 of ``text``, as many as its quota; none without one."""
+    marked = df.join(F.broadcast(quotas.where("quota > 0")), stratum).withColumn("__ll_h", F.md5(text))
+    return numbered(marked, [stratum], ["__ll_h", tie]).where(F.col("pos") <= F.col("quota")).drop("__ll_h", "quota")
+
+
 def disjoint_by_condition(df: DataFrame, unit: str, conditions: Sequence[str], n: int, text: Column) -> DataFrame:
     """(condition, unit): up to ``n`` units for each condition in turn, none twice.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import policies
 from ledgerloom.operators import statistics as Z
-from ledgerloom.operators.drawing import by_hash, disjoint_by_condition
+from ledgerloom.operators.drawing import by_hash, by_quota, disjoint_by_condition, proportional_quotas
 from ledgerloom.operators.numbering import numbered
 from ledgerloom.plans.ingest import _register
 from ledgerloom.plans.views import I, V, gains, interactions
@@ -373,3 +373,13 @@ def stratified_quota(spark, d):
     """Up to fifty of each stratum and three of each user; the quotas are the operator's."""
     few = by_hash(_pool(spark, d), ["u"], F.col("unit"), 3, "unit").drop("pos").withColumn("stratum", F.least(F.greatest("n", F.lit(0)), F.lit(12)).cast("bigint"))
     return by_hash(few, ["stratum"], F.col("unit"), 50, "unit").select("stratum", "unit")
+
+
+@query()
+def stratified_quota_by_share(spark, d):
+    """The calibration pool matched to the density histogram of the recorded tasks: 650 in all, three of each user. The
+    lowest stratum has no user with an item to hold out and gets no quota."""
+    stratum = F.least(F.greatest(F.col("n"), F.lit(0)), F.lit(12)).cast("bigint").alias("stratum")
+    wanted = table(spark, d, "task_profile").select("index", F.col("user_reviews_before_task").alias("n")).distinct().where("n IS NOT NULL").select(stratum)
+    few = by_hash(_pool(spark, d), ["u"], F.col("unit"), 3, "unit").drop("pos").withColumn("stratum", stratum)
+    return by_quota(few, "stratum", F.col("unit"), proportional_quotas(wanted, "stratum", 650, 1), "unit").select("stratum", "unit")
