@@ -73,3 +73,27 @@ def best_of_grid(df: DataFrame, grid: DataFrame, thresholds: dict[str, str], dec
         F.round(F.sum(F.when(F.col("use") == F.col("truth"), F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("agreement"),
         F.round(F.sum(F.when(F.col("use"), F.col("yes")).otherwise(F.col("no"))) / F.sum("n"), 9).alias("earned"),
     )
+
+
+def two_feature_rule(df: DataFrame, a: str, b: str, gain: str, low: float = 0.05, high: float = 0.95, least: int = 30) -> DataFrame:
+    """(form, a, b, gain, rate), at most one row: the rule that earns most of those that admit neither nearly none nor nearly all.
+
+    Forms are ``first`` (value of ``a`` at least the threshold), ``second`` and ``both``; thresholds are the nine
+    percentiles from 10 to 90 of each feature. A missing value admits nothing; under ``least`` rows there is no rule.
+    Equal gains go to the rate nearest one half. Rows are counted by the thresholds they reach.
+    """
+    usable = {x: F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double")) for x in (a, b)}
+    s = df.select(usable[a].alias("a"), usable[b].alias("b"), F.col(gain).alias("gain"))
+    shares = F.array(*(F.lit(k / 10) for k in range(1, 10)))
+    grids = s.agg(*(F.array_sort(F.array_distinct(F.percentile(x, shares))).alias(x) for x in ("a", "b"))).head()  # at most 9 values each
+    grid = {x: grids[x] or [] for x in ("a", "b")}
+    reached = {x: sum((F.when(F.col(x) >= v, 1).otherwise(0) for v in grid[x]), F.lit(0)) for x in grid}
+    cells = s.groupBy(reached["a"].alias("ra"), reached["b"].alias("rb")).agg(F.count(F.lit(1)).alias("n"), F.sum("gain").alias("v"))
+    rules = [("first", v, None, i, 0) for i, v in enumerate(grid["a"], 1)] + [("second", None, v, 0, i) for i, v in enumerate(grid["b"], 1)]
+    rules += [("both", v, w, i, j) for i, v in enumerate(grid["a"], 1) for j, w in enumerate(grid["b"], 1)]
+    told = df.sparkSession.createDataFrame(rules, "form string, a double, b double, ia int, ib int")
+    ok = (F.col("ra") >= F.col("ia")) & (F.col("rb") >= F.col("ib"))
+    of = lambda c: F.sum(F.when(ok, F.col(c)).otherwise(0)) / F.sum("n")
+    r = told.crossJoin(F.broadcast(cells)).groupBy("form", "a", "b").agg(of("v").alias("gain"), of("n").alias("rate"), F.sum("n").alias("n"))
+    kept = r.where((F.col("n") >= least) & F.col("rate").between(low, high))
+    return kept.orderBy(F.desc(F.round("gain", 9)), F.round(F.abs(F.col("rate") - 0.5), 9), "form", "a", "b").limit(1).drop("n")

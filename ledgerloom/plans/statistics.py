@@ -323,6 +323,12 @@ def two_feature_rule(spark, d):
     return best.select("a", "b", "form", F.round("gain", 6).alias("gain"), F.round("rate", 6).alias("rate"))
 
 
+@query()
+def two_feature_rule_percentiles(spark, d):
+    """The best rule on top score and reviews with thresholds from the data."""
+    return Z.two_feature_rule(_signals(spark, d), "top1", "reviews", "voi").select("form", "a", "b", F.round("gain", 6).alias("gain"), F.round("rate", 6).alias("rate"))
+
+
 _DENS = f"{I}, u AS (SELECT user_id, count(*) n FROM i GROUP BY 1), e AS (SELECT list_sort(list_distinct([quantile_cont(n, 0.25), quantile_cont(n, 0.5), quantile_cont(n, 0.75)])) edges FROM u)"
 
 
