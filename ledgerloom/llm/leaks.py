@@ -1,15 +1,16 @@
 """Evaluation texts leaking into training text.
 
-Both sides are reduced to words (``plain_words``). The patterns searched for are
-pairs of neighbouring words of an evaluation text, which may stand a few words
-apart in a document. All of them are searched at once with the block table of
-Wu and Manber, with words in place of letters: a pattern is one block of two
-words, so that the table tells only whether a block is a pattern. Each step is an
-array operation over many documents.
-
-A leak lacks few words of its passage, so that of the passage's rarest pairs a
-known number must stand within a bounded stretch of the document. Where they do
-is a candidate; no leak is without them. Candidates are aligned exactly.
+Both sides are reduced to words (``plain_words``). A leak lacks few words of its
+passage, so that of the passage's rarest pairs of neighbouring words a known
+number must stand within a bounded stretch of the document, the words of a pair
+a few words apart at most.
+
+The rarer word of each such pair is a test string. All of them are searched at
+once with the shift table and the suffix buckets of Wu and Manber
+(``WuManber``), on the bytes of the texts. Where a test string occurs, the words
+around it are compared directly with the rest of its pairs. A stretch that has
+pairs enough is a candidate; no leak is without one. Candidates are aligned
+exactly.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.plainwords import plain_words
+from ledgerloom.llm.wumanber import WuManber
 from ledgerloom.session import ship_package
+from ledgerloom.sources.durable import durable
 
-#: Slots of the block table.
-SLOTS = 1 << 21
 #: How many of the pairs kept of a passage a leak must have at least; more make fewer candidates and more hits.
 SURE = 6
 
@@ -57,8 +59,6 @@ class Searcher:
 
     def __post_init__(self) -> None:
         self.size = len(self.vocabulary) + 1
-        if self.size >= 1 << 20:
-            raise ValueError("too many different words in one block of evaluation texts")
         self._pairs()
 
     def _pairs(self) -> None:
@@ -94,30 +94,43 @@ class Searcher:
             base += len(self.texts[k]) + rule.stretch  # no passage spans two texts
         self.places = base + 1
         code, place = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*places, np.zeros(0, np.int64)])
-        order = np.argsort(code, kind="stable")
-        self.pairs, first = np.unique(code[order], return_index=True)
-        self.pair_first, self.pair_place = np.concatenate((first, [len(code)])), place[order]
-        self.pair_slots = np.zeros(SLOTS, dtype=bool)
-        self.pair_slots[self._slot(self.pairs // self.size, self.pairs % self.size)] = True
+        self._test_strings(code, place)
         self.origin = np.array(self.origin, dtype=np.int64)
         self.least = np.array([n.min() if len(n) else 1 for n in self.needed], dtype=np.int64)
 
-    def passages(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def _test_strings(self, code: np.ndarray, place: np.ndarray) -> None:
+        """Pairs by their rarer word, which is searched for, of equally rare ones the longer; the other follows it or goes before."""
+        word = [""] * self.size
+        for w, k in self.vocabulary.items():
+            word[k] = w
+        long = np.array([len(w) for w in word], dtype=np.int64)
+        often = np.bincount(np.concatenate([*self.texts, np.zeros(0, np.int64)]), minlength=self.size)
+        weight = often * 1000 - np.minimum(long, 999) + (long < 4) * (1 << 40)  # short strings only where both are
+        a, b = code // self.size, code % self.size
+        ahead = weight[a] <= weight[b]
+        self.ahead, self.behind = (_Places(code[x], place[x]) for x in (ahead, ~ahead))
+        strings = np.unique(np.where(ahead, a, b))
+        self.found_first, self.found_last = np.isin(strings, a[ahead]), np.isin(strings, b[~ahead])
+        self.search = WuManber([f" {word[k]} ".encode() for k in strings.tolist()])
+
+    def passages(self, words: np.ndarray, begin: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """(document, text, position in the document, starts of the text's passages): wherever a leak may begin, within two
-        ``reach`` from the position."""
+        ``reach`` from the position. ``text``: the documents' words as bytes, a blank before and after each; each blank is
+        a place in ``words``, that after a document's last word the place that parts it from the next."""
         keys, shift = [], int(self.reach - 1).bit_length()
         first_block = np.concatenate(([0], np.cumsum((np.diff(begin) >> shift) + 2)))
-        for gap in range(1, self.rule.between + 2):
-            at = np.flatnonzero(self.pair_slots[self._slot(words[:-gap], words[gap:])])
-            code = words[at] * self.size + words[at + gap]
-            found = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
+        position, string = self.search.search(text)
+        found = np.searchsorted(np.flatnonzero(text == ord(" ")), position)
+        for places, at in ((self.ahead, found[self.found_first[string]]), (self.behind, found[self.found_last[string]])):
             doc = np.searchsorted(begin, at, side="right") - 1
-            same = (self.pairs[found] == code) & (at + gap < begin[doc + 1]) if len(self.pairs) else np.zeros(len(at), dtype=bool)
-            at, found, doc = at[same], found[same], doc[same]
-            many = self.pair_first[found + 1] - self.pair_first[found]
-            entry = np.repeat(self.pair_first[found] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(at) else np.zeros(0, np.int64)
-            block = first_block[doc] + ((at - begin[doc]) >> shift) + 1
-            keys.append(np.repeat(block, many) * self.places + self.pair_place[entry])
+            for gap in range(1, self.rule.between + 2):
+                first = at if places is self.ahead else at - gap
+                inside = (first >= begin[doc]) & (first + gap < begin[doc + 1])
+                first = first[inside]
+                hit, place = places.of(words[first] * self.size + words[first + gap])
+                first, own = first[hit], doc[inside][hit]
+                block = first_block[own] + ((first - begin[own]) >> shift) + 1
+                keys.append(block * self.places + place)
         key = _distinct(np.concatenate(keys))
         key = _distinct(np.concatenate((key, key - self.places)))  # a block and the one after it
         text = np.searchsorted(self.origin, key % self.places, side="right") - 1
@@ -140,8 +153,34 @@ class Searcher:
                 for at in range(0, int(begin[d + 1] - begin[d]), 1 << shift):
                     yield d, k, at, np.arange(len(self.needed[k]))
 
-    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * 1_000_003 + b) & (SLOTS - 1)
+
+class _Places:
+    """Where each pair stands among all texts' words."""
+
+    def __init__(self, code: np.ndarray, place: np.ndarray):
+        order = np.argsort(code, kind="stable")
+        self.code, first = np.unique(code[order], return_index=True)
+        self.first, self.place = np.concatenate((first, [len(code)])), place[order]
+        self.there = np.zeros(1 << 21, dtype=bool)
+        self.there[self._slot(self.code)] = True
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return code * 2_654_435_761 >> 13 & (len(self.there) - 1)
+
+    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in ``code``, place): all places of all pairs asked for."""
+        none = np.zeros(0, dtype=np.int64)
+        if not len(self.code) or not len(code):
+            return none, none
+        likely = np.flatnonzero(self.there[self._slot(code)])
+        at = np.minimum(np.searchsorted(self.code, code[likely]), len(self.code) - 1)
+        same = self.code[at] == code[likely]
+        at, known = at[same], likely[same]
+        if not len(known):
+            return none, none
+        many = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+        return np.repeat(known, many), self.place[entry]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -199,15 +238,23 @@ def aligned(text: np.ndarray, skipped: np.ndarray, document: np.ndarray, starts:
     return False
 
 
-def leaked(searcher: Searcher, documents: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """(document number, text number) of all leaks."""
+def leaked(searcher: Searcher, documents: list[np.ndarray], rule: Rule, lines: list[str] | None = None) -> list[tuple[int, int]]:
+    """(document number, text number) of all leaks.
+
+    ``documents``: their words' numbers, 0 for words that no text has; ``lines``: the words themselves, a blank between
+    them. Without ``lines`` they are written from the numbers.
+    """
+    if lines is None:
+        word = {k: w for w, k in searcher.vocabulary.items()}
+        lines = [" ".join(word.get(k, "_") for k in x.tolist()) for x in documents]
     sizes = np.array([len(x) for x in documents], dtype=np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))  # a word without number parts the documents
     words = np.zeros(int(begin[-1]), dtype=np.int64)
     for b, x in zip(begin, documents, strict=False):
         words[b : b + len(x)] = x
     out = set()
-    for d, k, at, starts in searcher.passages(words, begin):
+    text = np.frombuffer("\0".join(f" {x} " if x else " " for x in lines).encode(), dtype=np.uint8)
+    for d, k, at, starts in searcher.passages(words, begin, text):
         if (d, k) in out:
             continue
         if starts[-1] == len(searcher.texts[k]) - rule.stretch:  # the last passage may lack its first words
@@ -278,35 +325,56 @@ def find_leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame,
     ship_package(spark)
     rows = documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.col(text).alias("text"))
     schema = f"doc {documents.schema[doc_key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}"
-    found = spark.createDataFrame([], schema)
-    for searcher in searchers(items, item_key, item_text, rule, block):
+    blocks = searchers(items, item_key, item_text, rule, block)
+    searcher, following, reduced, parts = next(blocks, None), next(blocks, None), False, []
+    if following:  # texts are reduced to words once, however many blocks there are
+        rows, reduced = durable(rows.mapInArrow(_reduce(rule), rows.schema), "words"), True
+    while searcher:
         shared = spark.sparkContext.broadcast(searcher)
-        found = found.unionByName(rows.mapInArrow(_search(shared, rule), schema))
+        found = rows.mapInArrow(_search(shared, rule, reduced), schema)
+        parts.append(durable(found, "leaks") if reduced else found)
+        if reduced:
+            shared.unpersist()
+        searcher, following = following, next(blocks, None)
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return found.distinct().select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
 
 
+def _reduce(rule: Rule):
+    def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = (plain_words(t) for t in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string())], names=["doc", "text"])
+
+    return reduce_texts
+
+
 #: Words searched at once.
 AT_ONCE = 400_000
 
 
-def _search(shared, rule: Rule):
+def _search(shared, rule: Rule, reduced: bool):
+    """``reduced``: the texts are words with blanks between them already."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = shared.value
         number = searcher.vocabulary.get
         ids = pa.array(searcher.ids)
         for batch in batches:
-            column, held, which, size = batch.column(1), [], [], 0
+            column, held, lines, which, size = batch.column(1), [], [], [], 0
             for i in range(len(column)):
-                words = plain_words(column[i].as_py())
+                text = column[i].as_py()
+                words = text.split(" ") if reduced else plain_words(text)
                 if len(words) >= rule.least:
                     held.append(np.fromiter((number(w, 0) for w in words), dtype=np.int64, count=len(words)))
+                    lines.append(" ".join(words))
                     which.append(i)
                     size += len(words)
                 if size >= AT_ONCE or i + 1 == len(column):
-                    pairs = leaked(searcher, held, rule) if held else []
+                    pairs = leaked(searcher, held, rule, lines) if held else []
                     if pairs:
                         docs = batch.column(0).take(pa.array([which[d] for d, _ in pairs], pa.int64()))
                         yield pa.RecordBatch.from_arrays([docs, ids.take(pa.array([t for _, t in pairs], pa.int64()))], names=["doc", "item"])
-                    held, which, size = [], [], 0
+                    held, lines, which, size = [], [], [], 0
 
     return search
