@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.skew import split_running
+from ledgerloom.sources.durable import durable
 
 
 @dataclass(frozen=True)
@@ -73,10 +74,13 @@ def sample_to_targets(candidates: DataFrame, unit: list[str], categories: list[C
     sample: plan_id, category, rank, priority, unit columns. The same seed and
     rows give the same sample. report: plan_id, category, usable, need (the larger
     of min_rows and the target's share rounded up), taken, target_permille,
-    actual_permille, short (usable < need).
+    actual_permille, short (the category ran out before its need).
 
     Rows get a random rank within their category by ``split_running``, which cuts
     large categories over many tasks. What is collected is one count per category.
+    The cut is written once: the rows drawn, and as reserves those which a need
+    calls for beyond them. The report counts what was written: a category is short
+    if drawn rows and reserves together don't reach its need.
     """
     spark = candidates.sparkSession
     which = F.array(*(F.when(F.coalesce(c.member, F.lit(False)), F.struct(F.lit(c.plan_id).alias("plan_id"), F.lit(c.name).alias("category"))) for c in categories))
@@ -92,11 +96,15 @@ def sample_to_targets(candidates: DataFrame, unit: list[str], categories: list[C
         given = seats([(c.name, have[c.name], c.permille, c.min_rows) for c in own], size)
         rows += [(plan, c.name, have[c.name], max(c.min_rows, -(-c.permille * size // 1000)), given[c.name], c.permille, size) for c in own]
     plan_rows = spark.createDataFrame(rows, "plan_id int, category string, usable bigint, need bigint, seats bigint, target_permille int, size bigint")
-    chosen = ranked.join(F.broadcast(plan_rows.select("plan_id", "category", "seats", "target_permille")), ["plan_id", "category"]).where("rank <= seats")
-    sample = chosen.select("plan_id", "category", "rank", F.when(F.col("target_permille") > 0, (F.col("rank") - 0.5) / F.col("target_permille")).alias("priority"), *unit)
-    taken = sample.groupBy("plan_id", "category").agg(F.count(F.lit(1)).alias("taken"))
-    report = plan_rows.join(taken, ["plan_id", "category"], "left").select(
-        "plan_id", "category", "usable", "need", F.coalesce("taken", F.lit(0)).alias("taken"), "target_permille",
-        F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0)) * 1000.0 / F.col("size")).alias("actual_permille"), (F.col("usable") < F.col("need")).alias("short"),
+    reach = F.broadcast(plan_rows.select("plan_id", "category", "need", "seats", "target_permille"))
+    called = ranked.join(reach, ["plan_id", "category"]).where(F.col("rank") <= F.greatest("seats", "need"))
+    priority = F.when(F.col("target_permille") > 0, (F.col("rank") - 0.5) / F.col("target_permille"))
+    cut = durable(called.select("plan_id", "category", "rank", priority.alias("priority"), (F.col("rank") <= F.col("seats")).alias("__ll_drawn"), *unit), "cut")
+    sample = cut.where("__ll_drawn").drop("__ll_drawn")
+    counted = cut.groupBy("plan_id", "category").agg(F.count_if("__ll_drawn").alias("taken"), F.max("rank").alias("reached"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    report = plan_rows.join(counted, ["plan_id", "category"], "left").select(
+        "plan_id", "category", "usable", "need", none("taken").alias("taken"), "target_permille",
+        F.when(F.col("size") > 0, none("taken") * 1000.0 / F.col("size")).alias("actual_permille"), (none("reached") < F.col("need")).alias("short"),
     )
     return sample, report
