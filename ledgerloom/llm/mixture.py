@@ -42,9 +42,11 @@ def mix_sources(records: DataFrame, key: str, source: str, size: str, shares: li
     source's slots stay empty.
 
     mix: mix_id, slot, source, round, ``key``, ``size``. report, a row per share:
-    mix_id, source, available, target_tokens, actual_tokens, target_permille,
-    actual_permille (of the mix's actual tokens), short: ``max_repeats`` times
-    what there is is less than the target, compared exactly.
+    mix_id, source, available, target_tokens, actual_tokens, empty_slots,
+    target_permille, actual_permille (of the mix's actual tokens), short: what
+    fills the source's slots is less than its target, and an exact comparison
+    shows that this is no matter of whole blocks: ``max_repeats`` times what its
+    blocks hold is less as well.
 
     ``block`` defaults to a 4096th of all tokens, 256 at least and a million at
     most. Running totals and ranks are taken by ``split_running``, so neither a
@@ -77,21 +79,24 @@ def mix_sources(records: DataFrame, key: str, source: str, size: str, shares: li
         schedules = [spark.createDataFrame([], "mix_id int, slot bigint, source string")]
     ranked = split_running(reduce(DataFrame.unionByName, schedules), ["mix_id", "source"], ["slot"], sums={"rank": F.lit(1).cast("bigint")})
     plan = spark.createDataFrame([(s.mix_id, s.source, blocks.get(s.source, 0), s.max_repeats) for s in shares], "mix_id int, source string, blocks bigint, max_repeats int")
-    numbered = ranked.join(F.broadcast(plan), ["mix_id", "source"]).where("blocks > 0")
-    filled = numbered.select("mix_id", "slot", "source", F.expr("(rank - 1) div blocks").alias("round"), F.expr("(rank - 1) % blocks").alias("block"), "max_repeats").where("round < max_repeats").drop("max_repeats")
+    numbered = ranked.join(F.broadcast(plan), ["mix_id", "source"])
+    filled = numbered.where("blocks > 0").select("mix_id", "slot", "source", F.expr("(rank - 1) div blocks").alias("round"), F.expr("(rank - 1) % blocks").alias("block"), "max_repeats").where("round < max_repeats").drop("max_repeats")
 
     mix = filled.join(placed, ["source", "block"]).select("mix_id", "slot", "source", "round", F.col("key").alias(key), F.col("size").alias(size))
-    weights = placed.groupBy("source", "block").agg(F.sum("size").alias("tokens"))
-    actual = filled.groupBy("mix_id", "source", "block").agg(F.count(F.lit(1)).alias("times")).join(weights, ["source", "block"]).groupBy("mix_id", "source").agg(F.sum(F.col("times") * F.col("tokens")).alias("actual_tokens"))
-    targets = []
-    for s in shares:
-        there = have.get(s.source, 0)
-        targets.append((s.mix_id, s.source, there, total * s.percent * s.permille / 100_000, s.permille, s.max_repeats * there * 100_000 < total * s.percent * s.permille))
-    goal = spark.createDataFrame(targets, "mix_id int, source string, available bigint, target_tokens double, target_permille int, short boolean")
-    known = durable(goal.join(actual, ["mix_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0))), "mixture")
+    weights = durable(placed.groupBy("source", "block").agg(F.sum("size").alias("tokens")), "weights")
+    actual = filled.groupBy("mix_id", "source", "block").agg(F.count(F.lit(1)).alias("times")).join(weights, ["source", "block"]).groupBy("mix_id", "source").agg(F.sum("times").alias("filled"), F.sum(F.col("times") * F.col("tokens")).alias("actual_tokens"))
+    given = numbered.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("slots"))
+    held = weights.groupBy("source").agg(F.sum("tokens").alias("available"))
+    goal = spark.createDataFrame([(s.mix_id, s.source, str(total * s.percent * s.permille), s.permille, s.max_repeats) for s in shares], "mix_id int, source string, wanted string, target_permille int, max_repeats int")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    known = goal.join(actual, ["mix_id", "source"], "left").join(given, ["mix_id", "source"], "left").join(held, "source", "left")
+    known = known.select("mix_id", "source", F.col("wanted").cast("decimal(38,0)").alias("wanted"), "target_permille", "max_repeats", none("available").alias("available"), none("actual_tokens").alias("actual_tokens"), (none("slots") - none("filled")).alias("empty_slots"))
+    known = durable(known, "mixture")
+    exact = lambda c, times: F.col(c).cast("decimal(20,0)") * times.cast("decimal(17,0)")
+    less = (exact("actual_tokens", F.lit(100_000)) < F.col("wanted")) & (exact("available", F.col("max_repeats") * F.lit(100_000).cast("bigint")) < F.col("wanted"))
     sums = known.groupBy("mix_id").agg(F.sum("actual_tokens").alias("mixed"))
     report = known.join(F.broadcast(sums), "mix_id").select(
-        "mix_id", "source", "available", "target_tokens", "actual_tokens", "target_permille",
-        F.when(F.col("mixed") > 0, F.col("actual_tokens") * 1000.0 / F.col("mixed")).alias("actual_permille"), "short",
+        "mix_id", "source", "available", (F.col("wanted") / 100_000).cast("double").alias("target_tokens"), "actual_tokens", "empty_slots", "target_permille",
+        F.when(F.col("mixed") > 0, F.col("actual_tokens") * 1000.0 / F.col("mixed")).alias("actual_permille"), less.alias("short"),
     )
     return mix, report
