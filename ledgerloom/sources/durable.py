@@ -2,13 +2,15 @@
 
 Written as Parquet below the folder that the session names in
 ``spark.checkpoint.dir`` (on a cluster a shared one). Where the setting is
-absent, as in tests, a temporary folder of this machine is used. Everything a
-session wrote is removed when its driver ends.
+absent a local session, as in tests, uses a temporary folder of this machine; on a
+cluster that is an error, for executors would each write to their own disk.
+Everything a session wrote is removed when its driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,7 +23,11 @@ def scratch_root(spark: SparkSession) -> str:
     """The session's folder for intermediates."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         _roots[app] = f"{base.rstrip('/')}/ledgerloom-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
@@ -34,17 +40,50 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and the file system it is in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever file system it is in; a missing one is fine."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _located(spark, path)
+    fs.delete(p, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _located(spark, path)
+    return fs.exists(p)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; a missing one has none."""
+    p, fs = _located(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    p, fs = _located(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that appears whole or not at all; False if there is one already."""
+    p, fs = _located(spark, path)
+    part, _ = _located(spark, f"{path}.{uuid.uuid4().hex[:8]}.part")
+    stream = fs.create(part, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    done = not fs.exists(p) and fs.rename(part, p)
+    if not done:
+        fs.delete(part, False)
+    return done
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
