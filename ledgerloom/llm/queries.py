@@ -29,6 +29,17 @@ def p2_associations(spark: SparkSession, d: str) -> DataFrame:
     return _associations(spark, d).select("item_a", "item_b", "both", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p2_revised(spark: SparkSession, d: str) -> DataFrame:
+    """The same after increments: one source's reviews, those of the others, then all without a rating taken
+    back; the table is opened anew for each."""
+    log = table(spark, d, "review").select(F.col("source").alias("scope"), clean_id("user_id").alias("basket"), clean_id("item_id").alias("item"), (F.col("source") == "yelp").alias("first"), F.coalesce(F.col("stars") > 0, F.lit(False)).alias("rated"))
+    first, path = F.coalesce("first", F.lit(False)), scratch_path(spark, "pairs")
+    for part in (log.where(first), log.where(~first), log.where("NOT rated").withColumn("sign", F.lit(-1))):
+        PairTable(spark, path, max_items=100).apply(part)
+    counts = PairTable(spark, path).associations(min_both=5, min_lift=8)
+    return counts.select("item_a", "item_b", "both", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The five best-scored candidates of each trace."""
     chunks = table(spark, d, "retrieval_trace").select("trace_id", "chunk_no", F.explode("candidate_scores").alias("item_id", "score"))
@@ -108,10 +119,12 @@ k AS (SELECT plan_id, category, size, row_number() OVER (PARTITION BY plan_id OR
 g AS (SELECT plan_id, category, count(*)::BIGINT taken FROM k WHERE o <= size GROUP BY 1, 2)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_associations": p2_associations, "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample}
+QUERIES = {"p2_found": p2_found, "p2_associations": p2_associations, "p2_revised": p2_revised, "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample}
+_SCORED = "SELECT item_a, item_b, both_n::BIGINT AS \"both\", n_a::BIGINT n_a, n_b::BIGINT n_b, round(both_n::DOUBLE * users / (n_a::DOUBLE * n_b), 6) lift FROM r"
 SQL = {
     "p2_found": _BASKETS_SQL + "SELECT item_a, item_b FROM r",
-    "p2_associations": _BASKETS_SQL + "SELECT item_a, item_b, both_n::BIGINT AS \"both\", n_a::BIGINT n_a, n_b::BIGINT n_b, round(both_n::DOUBLE * users / (n_a::DOUBLE * n_b), 6) lift FROM r",
+    "p2_associations": _BASKETS_SQL + _SCORED,
+    "p2_revised": _BASKETS_SQL.replace("FROM review WHERE", "FROM review WHERE stars > 0 AND") + _SCORED,
     "p3_found": _TOP_SQL + "SELECT trace_id, item_id FROM r WHERE \"rank\" <= 5",
     "p3_ranked": _TOP_SQL + "SELECT trace_id, \"rank\"::INT AS \"rank\", item_id, score FROM r WHERE \"rank\" <= 5",
     "p5_found": _QUOTA_SQL + "SELECT plan_id, category FROM d WHERE usable < need",

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.pairs import PairTable
@@ -50,6 +51,34 @@ def test_increments_equal_a_rebuild(spark):
     counts.drop()
 
 
+def test_opened_again_grown_and_retried(spark):
+    rng = random.Random(9)
+    make = lambda n, sign: [(rng.choice(["x", None]), rng.choice([*"abcdefgh", "big"]), rng.choice([*map(str, range(12))]), sign) for _ in range(n)]
+    path, seen, buckets = scratch_path(spark, "t"), [], set()
+    for batch in (make(80, 1), make(50, 1), [], [(None, "a", "1", -1)] * 3):
+        seen += batch
+        counts = PairTable(spark, path, max_items=7, buckets=2, bucket_rows=20)
+        broken = spark.createDataFrame(batch, ROWS).withColumn("scope", F.when(F.col("basket") == "a", F.raise_error(F.lit("dies"))).otherwise(F.col("scope")))
+        try:
+            counts.apply(broken)  # an attempt that dies, if the batch has such a row
+        except Exception:
+            assert batch and PairTable(spark, path).version == counts.version
+            counts = PairTable(spark, path, max_items=1, buckets=99)
+            counts.bucket_rows = 20
+            if counts.version == 0:
+                counts = PairTable(spark, path, max_items=7, buckets=2, bucket_rows=20)
+            counts.apply(spark.createDataFrame(batch, ROWS))
+        again = PairTable(spark, path)
+        buckets.add(again.buckets)
+        assert {tuple(r) for r in again.associations().drop("lift").collect()} == expected(seen, 7)
+    assert max(buckets) > 2 and again.max_items == 7 and again.version == 4
+    late = PairTable(spark, path)
+    again.apply(spark.createDataFrame([("x", "n", "1", 1)], ROWS))
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.apply(spark.createDataFrame([("x", "m", "1", 1)], ROWS))
+    again.drop()
+
+
 def test_pairs_of_nothing_and_thresholds(spark):
     counts = PairTable(spark, scratch_path(spark, "t"), buckets=2)
     counts.apply(spark.createDataFrame([], ROWS))
