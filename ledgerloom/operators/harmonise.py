@@ -35,9 +35,11 @@ def first_filled(*columns: str) -> Column:
 
 
 def keep_known(df: DataFrame, **known: DataFrame) -> DataFrame:
-    """Rows whose every named column is found in the relation given for it, each by itself."""
+    """Rows whose every named column is found in the relation given for it, each by itself.
+
+    What is known is made distinct first, so that a key that often occurs there counts once."""
     for column, other in known.items():
-        df = df.join(other.select(F.col(other.columns[0]).alias(column)), column, "left_semi")
+        df = df.join(other.select(F.col(other.columns[0]).alias(column)).distinct(), column, "left_semi")
     return df
 
 

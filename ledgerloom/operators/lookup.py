@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table of a few short columns is broadcast.
@@ -14,7 +14,7 @@ def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, salts: int = 16, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, salt_by: str | Column, salts: int = 16, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of ``big`` to ``small`` (``key`` unique in it).
 
     The size of ``small`` is measured: up to ``max_rows`` rows it is broadcast,

@@ -4,35 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.skew import split_running
 
-#: Rows of one key up to which a plain window takes its order in one task.
-HEAVY_ROWS = 5_000_000
 
-
-def heaviest(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key; counted with a combine before the shuffle."""
-    return df.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, heavy: int = HEAVY_ROWS) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """``df`` with the running total of ``value`` up to each row; ``order`` must be total within a key.
 
-    The largest key is measured: up to ``heavy`` rows a window does, beyond it
-    ``split_running`` cuts the keys over many tasks. Both give the same rows.
+    Keys may be of any size, also all rows in one: ``split_running`` cuts them over many tasks.
     """
-    if heaviest(df, keys) <= heavy:
-        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(F.coalesce(value, F.lit(0))).over(so_far))
     return split_running(df, keys, order, sums={name: F.col(value)})
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", heavy: int = HEAVY_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
     """``df`` with each row's position (from 1) in its key's order."""
-    return running_sum(df.withColumn("__ll_one", F.lit(1).cast("bigint")), keys, order, "__ll_one", name, heavy).drop("__ll_one")
+    return running_sum(df.withColumn("__ll_one", F.lit(1).cast("bigint")), keys, order, "__ll_one", name).drop("__ll_one")
 
 
 def counts_before(points: DataFrame, events: DataFrame, key: str, time: str, name: str) -> DataFrame:

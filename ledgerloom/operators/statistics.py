@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.lookup import lookup_join
 from ledgerloom.operators.numbering import running_sum
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``df`` with the average rank of ``value`` (ties share theirs). Values are counted first, so ranking handles different values only."""
+    """``df`` with the average rank of ``value`` (ties share theirs); rows without a value are left out.
+
+    Values are counted first, so ranking handles different values only, cut over many tasks. Ranks are looked
+    up by value with the rows of every value spread, for one value may hold most rows.
+    """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__ll_n")).withColumn("__ll_all", F.lit(0))
     total = running_sum(counts, ["__ll_all"], [value], "__ll_n", "__ll_upto")
     ranks = total.select(F.col(value), (F.col("__ll_upto") - (F.col("__ll_n") - 1) / 2.0).cast("double").alias(name))
-    return df.join(ranks, value)
+    return lookup_join(df.where(F.col(value).isNotNull()), ranks, value, F.struct(*df.columns))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), tie: str = "id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.aggregates import bounded_heap
+from ledgerloom.operators.lookup import lookup_join
 from ledgerloom.operators.numbering import counts_before, numbered
 
 DAY = 86_400
@@ -18,8 +19,8 @@ def first_occurrences(log: DataFrame, user: str = "user_id", item: str = "item_i
 
 
 def with_length(sequence: DataFrame, user: str = "user_id") -> DataFrame:
-    """A sequence with its length in ``n``."""
-    return sequence.join(sequence.groupBy(user).agg(F.max("pos").alias("n")), user)
+    """A sequence with its length in ``n``; rows without a user are left out."""
+    return lookup_join(sequence.where(F.col(user).isNotNull()), sequence.groupBy(user).agg(F.max("pos").alias("n")), user, "pos")
 
 
 def leave_one_out(sequence: DataFrame, user: str = "user_id") -> DataFrame:
@@ -78,11 +79,23 @@ def profile(tasks: DataFrame, log: DataFrame, days: int = 90, cold_user: int = 5
     )
 
 
-def last_n_before(tasks: DataFrame, log: DataFrame, n: int) -> DataFrame:
-    """(user_id, back, item_id, ts): the last ``n`` interactions before the user's task time, newest first."""
-    seen = log.join(tasks.select("user_id", "task_time"), "user_id").where("ts < task_time")
-    heap = bounded_heap(F.struct((-F.col("ts")).alias("age"), F.col("item_id"), F.col("qty")), n)
-    return seen.groupBy("user_id").agg(heap.alias("h")).select("user_id", F.posexplode("h").alias("back", "h")).select("user_id", (F.col("back") + 1).alias("back"), "h.item_id", (-F.col("h.age")).alias("ts"))
+def last_n_before(tasks: DataFrame, log: DataFrame, n: int, fallback: bool = False) -> DataFrame:
+    """(user_id, back, item_id, ts): the last ``n`` interactions before the user's task time, newest first; all of them for 0.
+
+    ``fallback``: a user whose interactions all come later has them all instead of none; undated ones count as later.
+    One task a user. Log rows find their task without being gathered by user; heaps do the rest.
+    """
+    known = tasks.where("user_id IS NOT NULL").select("user_id", "task_time", F.lit(True).alias("__ll_asked"))
+    met = lookup_join(log, known, "user_id", F.struct("item_id", "ts")).where("__ll_asked").withColumn("__ll_before", F.coalesce(F.col("ts") < F.col("task_time"), F.lit(False)))
+    entry = F.struct((-F.col("ts")).alias("age"), F.col("item_id"), F.col("qty"))
+    if n:
+        heaps = met.groupBy("user_id").agg(bounded_heap(F.when(F.col("__ll_before"), entry), n).alias("h"), bounded_heap(entry, n).alias("every"))
+        kept = heaps.select("user_id", F.when(F.lit(fallback) & (F.size("h") == 0), F.col("every")).otherwise(F.col("h")).alias("h")).select("user_id", F.posexplode("h").alias("back", "h")).select("user_id", (F.col("back") + 1).cast("bigint").alias("back"), "h.*")
+    else:
+        late = lookup_join(met, met.groupBy("user_id").agg(F.bool_or("__ll_before").alias("__ll_some")), "user_id", F.struct("item_id", "ts"))
+        rows = late.where(F.col("__ll_before") | (F.lit(fallback) & ~F.col("__ll_some"))).select("user_id", entry.alias("h")).select("user_id", "h.*", F.xxhash64("h").alias("__ll_tie"))
+        kept = numbered(rows, ["user_id"], ["age", "item_id", "qty", "__ll_tie"], "back")
+    return kept.select("user_id", "back", "item_id", (-F.col("age")).alias("ts"))
 
 
 def neighbours(sequence: DataFrame, window: int, user: str = "user_id", item: str = "item_id") -> DataFrame:

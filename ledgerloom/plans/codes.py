@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.aggregates import bounded_heap
-from ledgerloom.functions.scores import cosine, l2_normalised, shared_levels, shared_prefix
+from ledgerloom.functions.scores import cosine, dot, l2_normalised, shared_levels, shared_prefix
 from ledgerloom.operators import codes as K
 from ledgerloom.operators.drawing import expanded
 from ledgerloom.plans.ingest import _register
@@ -160,8 +160,8 @@ def _drawn(spark, d):
     target at 0 and the drawn items after it."""
     from ledgerloom.operators.numbering import numbered
 
-    sequence = durable(sequences(spark, d), "sequences")
-    goal = goals(sequence)
+    sequence = sequences(spark, d)  # written by the numbering
+    goal = durable(goals(sequence), "goals")
     catalog = numbered(table(spark, d, "part").select(F.lit(0).alias("all"), F.col("p_partkey").alias("item_id")), ["all"], ["item_id"], "idx").select("item_id", (F.col("idx") - 1).alias("idx"))
     size = catalog.count()
     draw = (F.col("user_id") * 7919 + F.col("try") * 104729 + (F.col("user_id") % 1009) * F.col("try") * F.col("try")) % size
@@ -309,10 +309,10 @@ SELECT user_id, item_id, round(avg(sim), 6) score FROM q3 WHERE r <= 3 GROUP BY
 @query(_EMB)
 def embedding_rescore(spark, d):
     """Mean of each candidate's three best similarities to the user's first 20 other items."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), l2_normalised(F.col("embedding")).alias("embedding"))
     drawn, sequence, goal = _drawn(spark, d)
     history = sequence.join(goal, "user_id").where("item_id != target AND pos <= 20").join(e, "item_id").select("user_id", F.col("embedding").alias("past"))
-    pairs = drawn.join(e, "item_id").join(history, "user_id").select("user_id", "item_id", cosine(F.col("embedding"), F.col("past")).alias("sim"))
+    pairs = drawn.join(e, "item_id").join(history, "user_id").select("user_id", "item_id", dot(F.col("embedding"), F.col("past")).alias("sim"))
     best = pairs.groupBy("user_id", "item_id").agg(bounded_heap(-F.col("sim"), 3).alias("h"))
     return best.select("user_id", "item_id", F.round(-F.aggregate("h", F.lit(0.0), lambda s, x: s + x) / F.size("h"), 6).alias("score"))
 

@@ -8,6 +8,7 @@ from ledgerloom.functions.scores import hit, ndcg, rank_of
 from ledgerloom.operators.statistics import average_ranks
 from ledgerloom.plans.ingest import _register
 from ledgerloom.plans.views import R, T, V, X, gains, rankings, tasks
+from ledgerloom.sources.durable import durable
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL, query = _register()
@@ -146,13 +147,13 @@ def eval_split(spark, d):
 
 @query(f"WITH {V}, r AS (SELECT (rank() OVER (ORDER BY hm) + (count(*) OVER (PARTITION BY hm) - 1) / 2.0)::DOUBLE a, (rank() OVER (ORDER BY hmt) + (count(*) OVER (PARTITION BY hmt) - 1) / 2.0)::DOUBLE b FROM (SELECT round(hm, 6) hm, round(hmt, 6) hmt FROM v)) SELECT round(corr(a, b), 6) rho, count(*)::BIGINT n FROM r")
 def spearman(spark, d):
-    v = gains(spark, d).select("run_index", F.round("hm", 6).alias("hm"), F.round("hmt", 6).alias("hmt"))
+    v = durable(gains(spark, d).select("run_index", F.round("hm", 6).alias("hm"), F.round("hmt", 6).alias("hmt")), "gains")
     return average_ranks(average_ranks(v, "hm", "a"), "hmt", "b").agg(F.round(F.corr("a", "b"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {V}, r AS (SELECT dataset = 'amazon' y, (rank() OVER (ORDER BY hm) + (count(*) OVER (PARTITION BY hm) - 1) / 2.0)::DOUBLE a FROM (SELECT dataset, round(hm, 6) hm FROM v)), s AS (SELECT sum(a) FILTER (y) ra, count(*) FILTER (y)::DOUBLE p, count(*) FILTER (NOT y)::DOUBLE q FROM r) SELECT round((ra - p * (p + 1) / 2) / (p * q), 6) auc FROM s")
 def auc_rank_sum(spark, d):
     """Area under the curve as a rank sum."""
-    v = gains(spark, d).select((F.col("dataset") == "amazon").alias("y"), F.round("hm", 6).alias("hm"))
+    v = durable(gains(spark, d).select((F.col("dataset") == "amazon").alias("y"), F.round("hm", 6).alias("hm")), "gains")
     s = average_ranks(v, "hm", "a").agg(F.sum(F.when(F.col("y"), F.col("a"))).alias("ra"), F.count_if("y").cast("double").alias("p"), F.count_if(~F.col("y")).cast("double").alias("q"))
     return s.select(F.round((F.col("ra") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import timelines as L
 from ledgerloom.operators.harmonise import first_filled
+from ledgerloom.operators.lookup import lookup_join
 from ledgerloom.operators.numbering import counts_before, numbered
 from ledgerloom.plans.ingest import _register
 from ledgerloom.plans.views import CONDITIONS, C, G, S, T, X, candidates, codes, goals, interactions, kept_interactions, sequences
@@ -125,7 +126,7 @@ def last_n_split(spark, d):
 def min_candidate_popularity(spark, d):
     """Of each task's candidates the fewest reviews."""
     popularity = table(spark, d, "review").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return candidates(spark, d).join(popularity, "item_id", "left").groupBy("index").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"))
+    return lookup_join(candidates(spark, d), popularity, "item_id", F.struct("index", "pos")).groupBy("index").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"))
 
 
 @query(f"WITH {INTERACTIONS} SELECT user_id, count(*)::BIGINT n FROM i GROUP BY 1")
