@@ -9,6 +9,7 @@ from ledgerloom.operators.asof import Attribute, attributes_as_of
 from ledgerloom.operators.instants import normalise_instants
 from ledgerloom.operators.lookup import lookup_join
 from ledgerloom.operators.skew import State, split_aggregate
+from ledgerloom.sources.durable import durable
 from ledgerloom.sources.tables import clean_id, table
 
 FIELDS = {"user_reviews_before_task": ("user", "user_id"), "item_reviews_before_task": ("item", "target_item_id")}
@@ -59,6 +60,7 @@ known AS (
 def _keyed(df: DataFrame, field: str, key: F.Column, order: str, permille: int) -> DataFrame:
     """Keys with at least so many thousandths of all rows of ``df``; NULL is no key but its rows count."""
     per_key = split_aggregate(df.select(key.alias("key_value"), F.col(order).alias("_order")), ["key_value"], ["_order"], [State("rows", "count"), State("first_at", "min", F.col("_order")), State("last_at", "max", F.col("_order"))])
+    per_key = durable(per_key, "keys")  # one row a key
     total = per_key.agg(F.sum("rows").alias("total"))
     shares = per_key.crossJoin(F.broadcast(total))  # one row
     return shares.where(F.col("key_value").isNotNull() & (F.col("rows") * 1000 >= F.col("total") * permille)).select(F.lit(field).alias("key_field"), "key_value", "rows", "first_at", "last_at")
