@@ -83,13 +83,15 @@ def normalise_instants(df: DataFrame, fields: Sequence[str], row_zone: Column |
     kinds = dict(df.dtypes)
     zones = F.broadcast(zone_table(spark, years[0] - 1, years[1] + 1))
     work = df.withColumn("__ll_zone", F.lower(row_zone) if row_zone is not None else F.lit(None).cast("string"))
-    found = []
+    found, usable = [], F.lit(None).cast("bigint")
     for i, field in enumerate(fields):
         c = F.col(field)
         if kinds[field] != "string":
-            found.append((field, epoch_seconds(c.cast("double"), lo, hi), F.lit(None).cast("string")))
+            work = work.withColumn(f"__ll_usable{i}", F.coalesce(usable, epoch_seconds(c.cast("double"), lo, hi)))
+            usable = F.col(f"__ll_usable{i}")
+            found.append((field, usable, F.lit(None).cast("string")))
             continue
-        text = F.btrim(c, F.lit(BLANKS))
+        text = F.when(usable.isNull(), F.btrim(c, F.lit(BLANKS)))  # what follows a usable time isn't read
         work = work.withColumn(f"__ll_text{i}", text).withColumn(f"__ll_value{i}", number_in(F.col(f"__ll_text{i}"))).withColumn(f"__ll_number{i}", epoch_seconds(F.col(f"__ll_value{i}"), lo, hi))
         work = with_wall_time(work, F.when(F.col(f"__ll_number{i}").isNull(), F.col(f"__ll_text{i}")), f"__ll_wall{i}")
         wall = F.col(f"__ll_wall{i}")
@@ -106,6 +108,8 @@ def normalise_instants(df: DataFrame, fields: Sequence[str], row_zone: Column |
         offset = F.coalesce(wall["offset"], at["offset"], F.when(wall["zone"].isNull(), F.lit(0)))
         instant = wall["local"] - offset
         note = F.when(at["matches"] == 2, F.lit("ambiguous")).when(at["matches"] == 0, F.lit("nonexistent"))
-        found.append((field, F.coalesce(F.col(f"__ll_number{i}"), F.when((instant >= lo) & (instant < hi), instant)), note))
+        work = work.withColumns({f"__ll_usable{i}": F.coalesce(usable, f"__ll_number{i}", F.when((instant >= lo) & (instant < hi), instant)), f"__ll_note{i}": note})
+        usable = F.col(f"__ll_usable{i}")
+        found.append((field, usable, F.col(f"__ll_note{i}")))
     work = work.withColumn("__ll_found", F.coalesce(*(F.when(t.isNotNull(), F.struct(t.alias("second"), F.lit(f).alias("field"), n.alias("note"))) for f, t, n in found)))
     return work.select(*df.columns, F.col("__ll_found.second").alias("epoch_second"), F.col("__ll_found.field").alias("time_field"), F.col("__ll_found.note").alias("time_note"))
