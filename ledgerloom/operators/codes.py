@@ -40,26 +40,16 @@ def health(codes: DataFrame) -> DataFrame:
     ).select("*", F.round(1 - F.col("codes") / F.col("items"), 6).alias("collision_rate"), F.round(F.log1p(F.col("items") / F.col("codes")), 6).alias("log_leaf"))
 
 
-def matched_scores(candidates: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """(key, item_id, pos, score): per candidate the best share of levels it has in common with an item of
-    the history of its ``key``; 0 without a code on either side. Both sides bring their codes (``c0``..);
-    histories must be bounded per key."""
-    past = history.select(key, *(F.col(c).alias(f"h{c}") for c in LEVELS))
-    met = candidates.join(past, key, "left")
-    score = shared_levels([F.col(c) for c in LEVELS], [F.col(f"h{c}") for c in LEVELS])
-    return met.groupBy(key, "item_id", "pos").agg(F.max(score).alias("score"))
-
-
 def _met(candidates: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """Each candidate with each item of the history of its key: ``alike`` (codes; NULL without one on either side) and ``near`` (cosine)."""
+    """Each candidate with each item of the history of its key: ``alike`` (codes; NULL without one on either side) and ``near`` (cosine; vectors have norm 1)."""
     past = history.select(key, *(F.col(c).alias(f"h{c}") for c in LEVELS), F.col("embedding").alias("past"))
     alike = F.when(F.col("c0").isNotNull() & F.col("hc0").isNotNull(), shared_levels([F.col(c) for c in LEVELS], [F.col(f"h{c}") for c in LEVELS]))
-    return candidates.join(past, key, "left").withColumns({"alike": alike, "near": cosine(F.col("embedding"), F.col("past"))})
+    return candidates.join(past, key, "left").withColumns({"alike": alike, "near": dot(F.col("embedding"), F.col("past"))})
 
 
 def blended_scores(candidates: DataFrame, history: DataFrame, key: str) -> DataFrame:
     """(key, item_id, pos, score): 0.7 of the best likeness of codes and 0.3 of the best cosine, the former alone where
-    there is no cosine; 0 without a code of the candidate or in the history. Both sides bring codes and embedding, NULL
+    there is no cosine; 0 without a code of the candidate or in the history. Both sides bring codes and embedding (of norm 1), NULL
     where they have none; histories must be bounded per key."""
     best = _met(candidates, history, key).groupBy(key, "item_id", "pos").agg(F.max("alike").alias("alike"), F.max("near").alias("near"))
     return best.select(key, "item_id", "pos", F.coalesce(0.7 * F.col("alike") + 0.3 * F.col("near"), "alike", F.lit(0.0)).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.aggregates import bounded_heap
-from ledgerloom.functions.scores import cosine, dot, l2_normalised, shared_levels, shared_prefix
+from ledgerloom.functions.scores import cosine, l2_normalised, shared_levels, shared_prefix
 from ledgerloom.operators import codes as K
 from ledgerloom.operators.drawing import expanded
 from ledgerloom.plans.ingest import _register
@@ -79,13 +79,14 @@ def sid_prefix_search(spark, d):
     return heap.select("prefix", F.posexplode("h").alias("r", "item_id")).select("prefix", (F.col("r") + 1).cast("bigint").alias("r"), "item_id")
 
 
-@query(f"WITH {C}, e AS (SELECT c0, c1, c2, count(*) n, min(item_id) first FROM c GROUP BY 1, 2, 3), p AS (SELECT c0, c1, count(*) n FROM c GROUP BY 1, 2) SELECT concat_ws(',', e.c0, e.c1, e.c2) code, e.n::BIGINT exact, p.n::BIGINT under_prefix, first FROM e JOIN p USING (c0, c1)")
+@query(f"WITH {C}, e AS (SELECT c0, c1, c2, count(*) n, min(item_id) first FROM c GROUP BY 1, 2, 3), p AS (SELECT c0, c1, count(*) n FROM c GROUP BY 1, 2), nm AS (SELECT c0, c1, c2, string_agg(p_name, '; ' ORDER BY item_id) FILTER (r <= 5) names FROM (SELECT *, row_number() OVER (PARTITION BY c0, c1, c2 ORDER BY item_id) r FROM c JOIN part ON p_partkey = item_id) GROUP BY 1, 2, 3) SELECT concat_ws(',', e.c0, e.c1, e.c2) code, e.n::BIGINT exact, p.n::BIGINT under_prefix, first, names FROM e JOIN p USING (c0, c1) JOIN nm USING (c0, c1, c2)")
 def decode_sid(spark, d):
-    """What a code stands for: items with exactly it, items under its two-level prefix."""
-    base = codes(spark, d)
-    exact = base.groupBy(*K.LEVELS).agg(F.count(F.lit(1)).alias("exact"), F.min("item_id").alias("first"))
+    """What a code stands for: items with exactly it and the first five by name, items under its two-level prefix."""
+    base = codes(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")), "item_id")
+    names = F.array_join(F.transform(bounded_heap(F.struct("item_id", "name"), 5), lambda x: x["name"]), "; ")
+    exact = base.groupBy(*K.LEVELS).agg(F.count(F.lit(1)).alias("exact"), F.min("item_id").alias("first"), names.alias("names"))
     under = base.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("under_prefix"))
-    return exact.join(under, ["c0", "c1"]).select(K.code_key().alias("code"), "exact", "under_prefix", "first")
+    return exact.join(under, ["c0", "c1"]).select(K.code_key().alias("code"), "exact", "under_prefix", "first", "names")
 
 
 _PAIRS = f"{S}, {C}, z AS (SELECT a.user_id, a.pos, ca.c0 a0, ca.c1 a1, ca.c2 a2, cb.c0 b0, cb.c1 b1, cb.c2 b2 FROM s a JOIN s b ON a.user_id = b.user_id AND b.pos = a.pos + 1 JOIN c ca ON ca.item_id = a.item_id JOIN c cb ON cb.item_id = b.item_id)"
@@ -149,10 +150,11 @@ def residual_quantize(spark, d):
 
 # A task per customer: the target among 19 items that the customer never had.
 _TRIES, _NEG = 64, 19
-_DRAW = "(u.user_id * 7919 + j * 104729 + (u.user_id % 1009) * j * j) % n"
-U = f"""{S}, g AS (SELECT user_id, item_id target FROM s WHERE pos = s.n), cat AS (SELECT p_partkey item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part),
-d AS (SELECT u.user_id, cat.item_id, min(j) j FROM g u, (SELECT count(*) n FROM part), range(0, {_TRIES}) t(j) JOIN cat ON cat.idx = {_DRAW} WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.user_id = u.user_id AND x.item_id = cat.item_id) GROUP BY 1, 2),
-u AS (SELECT user_id, item_id, pos FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS pos FROM d) WHERE pos <= {_NEG} UNION ALL SELECT user_id, target, 0 FROM g)"""
+_DRAW = "(u.user_id * 7919 + t.j * 104729 + (u.user_id % 1009) * t.j * t.j) % n"
+U = f"""{S}, g AS (SELECT user_id, item_id target FROM s WHERE pos = s.n), cat AS MATERIALIZED (SELECT p_partkey item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part),
+j AS (SELECT u.user_id, t.j, {_DRAW} idx FROM g u, (SELECT count(*) n FROM part), range(0, {_TRIES}) t(j)),
+d AS (SELECT j.user_id, cat.item_id, min(j.j) j FROM j JOIN cat USING (idx) ANTI JOIN s ON s.user_id = j.user_id AND s.item_id = cat.item_id GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT user_id, item_id, pos FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS pos FROM d) WHERE pos <= {_NEG} UNION ALL SELECT user_id, target, 0 FROM g)"""
 
 
 def _drawn(spark, d):
@@ -184,24 +186,33 @@ def negative_sampling(spark, d):
     return universe(spark, d).where("pos BETWEEN 1 AND 9").select("user_id", "item_id")
 
 
-_SCORE = f"""{U}, {C}, h AS (SELECT s.user_id, c0 h0, c1 h1, c2 h2 FROM s JOIN g USING (user_id) JOIN c USING (item_id) WHERE s.pos <= 20 AND s.item_id <> g.target),
-sc AS (SELECT u.user_id, u.item_id, u.pos, round(coalesce(max(((c0 = h0)::INT + (c1 = h1)::INT + (c2 = h2)::INT) / 3e0), 0), 6) score FROM u JOIN c USING (item_id) LEFT JOIN h ON h.user_id = u.user_id GROUP BY 1, 2, 3),
-rk AS (SELECT sc.*, target, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pos) AS "rank" FROM sc JOIN g USING (user_id))"""
+_MET = f"""{U}, {C}, e AS (SELECT vec_id item_id, embedding::DOUBLE[] v FROM embeddings), h AS MATERIALIZED (SELECT s.user_id, c0 h0, c1 h1, c2 h2, e.v hv FROM s JOIN g USING (user_id) JOIN c USING (item_id) LEFT JOIN e USING (item_id) WHERE s.pos <= 20 AND s.item_id <> g.target),
+met AS (SELECT u.user_id, u.item_id, u.pos, ((c0 = h0)::INT + (c1 = h1)::INT + (c2 = h2)::INT) / 3e0 alike, list_cosine_similarity(e.v, hv) near FROM u JOIN c USING (item_id) LEFT JOIN e USING (item_id) LEFT JOIN h ON h.user_id = u.user_id)"""
+_SCORE = _MET + """, sc AS (SELECT user_id, item_id, pos, round(coalesce(0.7e0 * max(alike) + 0.3e0 * max(near), max(alike), 0), 6) score FROM met GROUP BY 1, 2, 3),
+rk AS MATERIALIZED (SELECT sc.*, target, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pos) AS "rank" FROM sc JOIN g USING (user_id))"""
 
 
 def ranked(spark, d):
-    """(user_id, item_id, pos, score, target, rank): the universe by its codes' likeness to the user's first 20 other items."""
+    """(user_id, item_id, pos, score, target, rank): the universe by its likeness to the user's first 20 other
+    items, in codes and, where there are any, in embeddings."""
     return _ranked(spark, d)[0]
 
 
+def _coded(spark, d):
+    """The universe and each user's first 20 other items, with codes and unit vectors (NULL without one); sequences and targets."""
+    (u, sequence, goal), c = _drawn(spark, d), codes(spark, d)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), l2_normalised(F.col("embedding")).alias("embedding"))
+    coded = lambda x: x.join(c, "item_id", "left").join(e, "item_id", "left")
+    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target")
+    return coded(u.drop("target")), coded(history), sequence, goal
+
+
 def _ranked(spark, d):
     from pyspark.sql import Window
 
-    (u, sequence, goal), c = _drawn(spark, d), codes(spark, d)
-    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target").join(c, "item_id")
-    scores = K.matched_scores(u.drop("target").join(c, "item_id"), history, "user_id").withColumn("score", F.round("score", 6))
-    # A universe is bounded by its draw.
-    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "pos")
+    u, history, sequence, goal = _coded(spark, d)
+    scores = K.blended_scores(u, history, "user_id").withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "pos")  # a universe is bounded by its draw
     return scores.withColumn("rank", F.row_number().over(order)).join(goal, "user_id"), sequence
 
 
@@ -212,33 +223,28 @@ def sid_rank(spark, d):
 
 @query(f"WITH {_SCORE} SELECT user_id, item_id, \"rank\" FROM rk WHERE \"rank\" <= 5")
 def shortlist_topk(spark, d):
-    return _topk(ranked(spark, d))
+    return ranked(spark, d).where("rank <= 5").select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _topk(r):
-    return r.where("rank <= 5").select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
+_HITS = ", ".join(f"round(avg((r <= {k})::INT), 6) recall_{k}" for k in (5, 10, 20))
 
 
-@query(f"WITH {_SCORE}, t AS (SELECT user_id, min(\"rank\") FILTER (item_id = target) r FROM rk GROUP BY 1) SELECT count(*)::BIGINT tasks, round(avg((r <= 5)::INT), 6) recall_5, round(avg((r <= 10)::INT), 6) recall_10, round(avg(r), 6) mean_rank, quantile_cont(r, 0.5) median_rank, 0.25 random_5 FROM t")
+@query(f"WITH {_SCORE}, t AS (SELECT user_id, min(\"rank\") FILTER (item_id = target) r, count(*) m FROM rk GROUP BY 1) SELECT m::BIGINT m, count(*)::BIGINT tasks, {_HITS}, round(avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0e0 END), 6) ndcg_5, round(avg(coalesce(r, m)), 6) mean_rank, quantile_cont(coalesce(r, m), 0.5) median_rank, round(least(1e0, 5e0 / any_value(m)), 6) random_5 FROM t GROUP BY t.m")
 def shortlist_recall(spark, d):
-    """How often the target is among the first; a random shortlist of 5 of 20 has it in a quarter of the cases."""
-    return _recall(ranked(spark, d))
-
-
-def _recall(r):
-    t = r.groupBy("user_id").agg(F.min(F.when(F.col("item_id") == F.col("target"), F.col("rank"))).alias("r"))
+    """By size of the universe how often the target is among the first, its discounted gain and rank; the share that a random shortlist of five has."""
+    t = ranked(spark, d).groupBy("user_id").agg(F.min(F.when(F.col("item_id") == F.col("target"), F.col("rank"))).alias("r"), F.count(F.lit(1)).alias("m"))
     share = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6)
-    return t.agg(F.count(F.lit(1)).alias("tasks"), share(5).alias("recall_5"), share(10).alias("recall_10"), F.round(F.avg("r"), 6).alias("mean_rank"), F.percentile("r", 0.5).alias("median_rank"), F.lit(0.25).alias("random_5"))
+    rank = F.coalesce("r", "m")
+    return t.groupBy("m").agg(
+        F.count(F.lit(1)).alias("tasks"), *(share(k).alias(f"recall_{k}") for k in (5, 10, 20)), F.round(F.avg(F.when(F.col("r") <= 5, 1 / F.log2(F.col("r") + 1)).otherwise(0.0)), 6).alias("ndcg_5"),
+        F.round(F.avg(rank), 6).alias("mean_rank"), F.percentile(rank, 0.5).alias("median_rank"), F.round(F.least(F.lit(1.0), 5.0 / F.first("m")), 6).alias("random_5"),
+    )
 
 
 @query(f"WITH {_SCORE} SELECT user_id, round(max(score), 6) top1, round(max(score) FILTER (\"rank\" = 1) - coalesce(max(score) FILTER (\"rank\" = 2), 0), 6) margin, round(stddev_pop(score), 6) deviation FROM rk GROUP BY 1")
 def sid_confidence(spark, d):
-    return _confidence(ranked(spark, d))
-
-
-def _confidence(r):
     at = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("score"))), F.lit(0.0))
-    return r.groupBy("user_id").agg(F.round(F.max("score"), 6).alias("top1"), F.round(at(1) - at(2), 6).alias("margin"), F.round(F.stddev_pop("score"), 6).alias("deviation"))
+    return ranked(spark, d).groupBy("user_id").agg(F.round(F.max("score"), 6).alias("top1"), F.round(at(1) - at(2), 6).alias("margin"), F.round(F.stddev_pop("score"), 6).alias("deviation"))
 
 
 @query(f"WITH {_SCORE}, w AS (SELECT rk.*, c0, c1, c2, md5(concat_ws(':', user_id, item_id)) h FROM rk JOIN c USING (item_id)) SELECT user_id, round(count(DISTINCT (c0, c1, c2)) / count(*), 6) diversity FROM w GROUP BY 1")
@@ -248,15 +254,27 @@ def candidate_diversity(spark, d):
     return u.groupBy("user_id").agg(F.round(F.countDistinct(*K.LEVELS) / F.count(F.lit(1)), 6).alias("diversity"))
 
 
-@query(f"""WITH {U}, {C}, o AS (SELECT u.user_id, CASE WHEN a.c0 <> b.c0 THEN 0 WHEN a.c1 <> b.c1 THEN 1 WHEN a.c2 <> b.c2 THEN 2 ELSE 3 END overlap FROM u JOIN g USING (user_id) JOIN c a ON a.item_id = u.item_id JOIN c b ON b.item_id = g.target WHERE u.pos > 0)
-SELECT user_id, (3 - max(overlap))::BIGINT separation, round(avg(overlap), 6) mean_overlap, round(avg((overlap = 3)::INT), 6) exact FROM o GROUP BY 1""")
+@query(f"""WITH {U}, {C}, o AS (SELECT u.user_id, target, a.c0 || ',' || a.c1 || ',' || a.c2 code, b.c0 || ',' || b.c1 || ',' || b.c2 own, CASE WHEN a.c0 <> b.c0 THEN 0 WHEN a.c1 <> b.c1 THEN 1 WHEN a.c2 <> b.c2 THEN 2 ELSE 3 END overlap FROM u JOIN g USING (user_id) JOIN c a ON a.item_id = u.item_id JOIN c b ON b.item_id = g.target WHERE u.pos > 0),
+l AS (SELECT c0 || ',' || c1 || ',' || c2 own, count(*) leaf FROM c GROUP BY 1)
+SELECT user_id, (3 - max(overlap))::BIGINT separation, round(avg(overlap), 6) mean_overlap, round(avg((overlap = 3)::INT), 6) exact, round((count(DISTINCT code) FILTER (code <> own) + 1) / (count(*) + 1), 6) spread, round(ln(1 + any_value(leaf)), 6) log_leaf FROM o JOIN l USING (own) GROUP BY 1""")
 def oracle_geometry(spark, d):
-    """How far the target's code is from those of the other candidates."""
+    """How far the target's code is from those of the other candidates, how many codes there are for a candidate, how full the target's leaf is."""
     c = codes(spark, d)
-    u = universe(spark, d).where("pos > 0").join(c, "item_id").join(c.select(F.col("item_id").alias("target"), *(F.col(x).alias(f"t{x}") for x in K.LEVELS)), "target")
-    overlap = shared_prefix([F.col(x) for x in K.LEVELS], [F.col(f"t{x}") for x in K.LEVELS])
-    o = u.select("user_id", overlap.alias("overlap"))
-    return o.groupBy("user_id").agg((3 - F.max("overlap")).cast("bigint").alias("separation"), F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(F.avg(F.when(F.col("overlap") == 3, 1.0).otherwise(0.0)), 6).alias("exact"))
+    leaves = K.leaf_sizes(c).select(*(F.col(x).alias(f"t{x}") for x in K.LEVELS), F.col("items").alias("leaf"))
+    targets = c.select(F.col("item_id").alias("target"), *(F.col(x).alias(f"t{x}") for x in K.LEVELS)).join(leaves, [f"t{x}" for x in K.LEVELS])
+    u = universe(spark, d).where("pos > 0").join(c, "item_id").join(targets, "target")
+    o = u.select("user_id", "leaf", K.code_key().alias("code"), shared_prefix([F.col(x) for x in K.LEVELS], [F.col(f"t{x}") for x in K.LEVELS]).alias("overlap"))
+    return o.groupBy("user_id").agg(
+        (3 - F.max("overlap")).cast("bigint").alias("separation"), F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(F.avg(F.when(F.col("overlap") == 3, 1.0).otherwise(0.0)), 6).alias("exact"),
+        F.round((F.countDistinct(F.when(F.col("overlap") < 3, F.col("code"))) + 1) / (F.count(F.lit(1)) + 1), 6).alias("spread"), F.round(F.log1p(F.max("leaf")), 6).alias("log_leaf"),
+    )
+
+
+@query(f"WITH {U}, {C} SELECT user_id, concat_ws(',', c0, c1, c2) code, count(*)::BIGINT collision_count, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) items FROM u JOIN c USING (item_id) GROUP BY 1, 2 HAVING count(*) > 1")
+def sid_collisions_in_pool(spark, d):
+    """Codes that several candidates of a user share, and which; a pool is bounded by its draw."""
+    pool = universe(spark, d).join(codes(spark, d), "item_id").groupBy("user_id", K.code_key().alias("code")).agg(F.count(F.lit(1)).alias("collision_count"), F.array_sort(F.collect_list("item_id")).alias("ids"))
+    return pool.where("collision_count > 1").select("user_id", "code", "collision_count", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("items"))
 
 
 _MODE = f"{S}, {C}, m AS (SELECT user_id, c0 AS prefix, count(*) n, min(pos) first FROM s JOIN c USING (item_id) GROUP BY 1, 2), hp AS (SELECT user_id, prefix, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) r FROM m)"
@@ -290,10 +308,7 @@ w AS (SELECT rk.user_id, rk.item_id, score, "rank", concat_ws(',', c0, c1, c2) c
 SELECT user_id, count(*) FILTER (hit)::BIGINT hits, (count(*) - count(DISTINCT code))::BIGINT collisions, arg_min(item_id, "rank") best, round(max(score), 6) score FROM w GROUP BY 1""")
 def retrieval_trace(spark, d):
     """Per user the whole protocol: favourite prefixes, their hits in the pool, code collisions, scores."""
-    return _trace(spark, d, *_ranked(spark, d))
-
-
-def _trace(spark, d, scored, sequence):
+    scored, sequence = _ranked(spark, d)
     pool = scored.join(codes(spark, d), "item_id").withColumn("prefix", F.col("c0"))
     met = pool.join(_prefixes(spark, d, sequence).select("user_id", "prefix", "r"), ["user_id", "prefix"], "left")
     return met.groupBy("user_id").agg(
@@ -301,20 +316,17 @@ def _trace(spark, d, scored, sequence):
     )
 
 
-_EMB = "WITH " + U + """, e AS (SELECT vec_id item_id, embedding::DOUBLE[] v FROM embeddings), hh AS (SELECT s.user_id, e.v FROM s JOIN g USING (user_id) JOIN e USING (item_id) WHERE s.item_id <> g.target AND s.pos <= 20),
-q AS (SELECT u.user_id, u.item_id, u.pos, list_cosine_similarity(e.v, hh.v) sim FROM u JOIN e USING (item_id) JOIN hh ON hh.user_id = u.user_id), q3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC) r FROM q)
-SELECT user_id, item_id, round(avg(sim), 6) score FROM q3 WHERE r <= 3 GROUP BY 1, 2"""
+_RESCORED = "WITH " + _MET + """, ok AS (SELECT DISTINCT user_id FROM h WHERE hv IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY near DESC NULLS LAST) r FROM met SEMI JOIN ok USING (user_id)),
+q AS (SELECT user_id, item_id, pos, round(coalesce(avg(near) FILTER (r <= 3), -1), 9) score, round(coalesce(max(alike), 0), 9) alike FROM k GROUP BY 1, 2, 3)
+SELECT user_id, item_id, round(score, 6) score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, alike DESC, pos) AS "rank" FROM q"""
 
 
-@query(_EMB)
+@query(_RESCORED)
 def embedding_rescore(spark, d):
-    """Mean of each candidate's three best similarities to the user's first 20 other items."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), l2_normalised(F.col("embedding")).alias("embedding"))
-    drawn, sequence, goal = _drawn(spark, d)
-    history = sequence.join(goal, "user_id").where("item_id != target AND pos <= 20").join(e, "item_id").select("user_id", F.col("embedding").alias("past"))
-    pairs = drawn.join(e, "item_id").join(history, "user_id").select("user_id", "item_id", dot(F.col("embedding"), F.col("past")).alias("sim"))
-    best = pairs.groupBy("user_id", "item_id").agg(bounded_heap(-F.col("sim"), 3).alias("h"))
-    return best.select("user_id", "item_id", F.round(-F.aggregate("h", F.lit(0.0), lambda s, x: s + x) / F.size("h"), 6).alias("score"))
+    """Candidates by the mean of their three best similarities to the user's first 20 other items, -1 without a vector; then by
+    code likeness, then in their order. Users without vectors in their history have no ranking."""
+    u, history, _, _ = _coded(spark, d)
+    return K.rescored(u, history, "user_id").select("user_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("WITH " + U + """, e AS (SELECT vec_id item_id, embedding[1]::DOUBLE s0 FROM embeddings), k AS (SELECT u.*, s0 FROM u LEFT JOIN e USING (item_id))
@@ -326,57 +338,3 @@ def rank_unknown_last(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.get("embedding", F.lit(0)).cast("double").alias("s0"))
     order = Window.partitionBy("user_id").orderBy(F.col("s0").isNull(), F.desc_nulls_last("s0"), "pos")
     return universe(spark, d).join(e, "item_id", "left").select("user_id", "item_id", F.row_number().over(order).cast("bigint").alias("rank"))
-
-
-# The same with the operator's blend of code and embedding likeness, which the SQL above leaves out.
-
-
-def _vectors(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-
-
-def _blended(spark, d):
-    """As ``_ranked``, by the blend of likenesses."""
-    from pyspark.sql import Window
-
-    (u, sequence, goal), c, e = _drawn(spark, d), codes(spark, d), _vectors(spark, d)
-    coded = lambda x: x.join(c, "item_id", "left").join(e, "item_id", "left")
-    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target")
-    scores = K.blended_scores(coded(u.drop("target")), coded(history), "user_id").withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "pos")  # a universe is bounded by its draw
-    return scores.withColumn("rank", F.row_number().over(order)).join(goal, "user_id"), sequence
-
-
-@query()
-def sid_rank_blended(spark, d):
-    return _blended(spark, d)[0].select("user_id", "item_id", "score", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query()
-def shortlist_topk_blended(spark, d):
-    return _topk(_blended(spark, d)[0])
-
-
-@query()
-def shortlist_recall_blended(spark, d):
-    return _recall(_blended(spark, d)[0])
-
-
-@query()
-def sid_confidence_blended(spark, d):
-    return _confidence(_blended(spark, d)[0])
-
-
-@query()
-def retrieval_trace_blended(spark, d):
-    return _trace(spark, d, *_blended(spark, d))
-
-
-@query()
-def embedding_rescore_rank(spark, d):
-    """Candidates by the mean of their three best similarities, -1 without a vector; then by code likeness, then in
-    their order. Users without vectors in their history have no ranking."""
-    (u, sequence, goal), c, e = _drawn(spark, d), codes(spark, d), _vectors(spark, d)
-    coded = lambda x: x.join(c, "item_id", "left").join(e, "item_id", "left")
-    history = sequence.join(goal, "user_id").where("pos <= 20 AND item_id != target")
-    return K.rescored(coded(u.drop("target")), coded(history), "user_id").select("user_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))

@@ -48,14 +48,14 @@ def simulation_star_error(spark, d):
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-15') a, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') b FROM events GROUP BY 1, 2), s AS (SELECT user_id, sum(a) a, sum(b) b FROM c GROUP BY 1)
-SELECT user_id, round(sum(abs(coalesce(c.a / nullif(s.a, 0), 0) - coalesce(c.b / nullif(s.b, 0), 0))), 6)::DOUBLE error FROM c JOIN s USING (user_id) GROUP BY 1""")
+SELECT user_id, round(avg(abs(coalesce(c.a / nullif(s.a, 0), 0) - coalesce(c.b / nullif(s.b, 0), 0))), 6)::DOUBLE error FROM c JOIN s USING (user_id) GROUP BY 1""")
 def label_l1_error(spark, d):
-    """Sum over all labels of the difference of two distributions; a label that one lacks counts 0 there."""
+    """Mean over the labels of either of the difference of two distributions; a label that one lacks counts 0 there."""
     early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
     c = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count_if(early).alias("a"), F.count_if(~early).alias("b"))
     s = c.groupBy("user_id").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     share = lambda x, t: F.coalesce(F.try_divide(x, t), F.lit(0.0))
-    return c.join(s, "user_id").groupBy("user_id").agg(F.round(F.sum(F.abs(share("a", "sa") - share("b", "sb"))), 6).alias("error"))
+    return c.join(s, "user_id").groupBy("user_id").agg(F.round(F.avg(F.abs(share("a", "sa") - share("b", "sb"))), 6).alias("error"))
 
 
 @query(f"WITH {T} SELECT source, count(*)::BIGINT n, count(DISTINCT \"index\")::BIGINT runs, count(DISTINCT CASE WHEN \"index\" % 4 = 0 THEN \"index\" END)::BIGINT classic FROM t GROUP BY 1")

@@ -21,7 +21,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
 
 
 I = "i AS (SELECT o_custkey user_id, l_partkey item_id, epoch(o_orderdate)::BIGINT ts, l_quantity qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"  # noqa: E741
-S = I + ", s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) pos, count(*) OVER (PARTITION BY user_id) n FROM (SELECT user_id, item_id, min(ts) ts FROM i GROUP BY 1, 2))"
+S = I + ", s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) pos, count(*) OVER (PARTITION BY user_id) n FROM (SELECT user_id, item_id, min(ts) ts FROM i GROUP BY 1, 2))"
 
 
 def kept_interactions(spark: SparkSession, d: str) -> DataFrame:

@@ -19,14 +19,6 @@ def test_blend_and_rescored_ranks(spark, rows):
     assert told[4][3] == -1.0 and {u for u, *_ in told} == {1, 2}
 
 
-def test_blended_queries_are_registered():
-    for name in ("sid_rank", "shortlist_topk", "shortlist_recall", "sid_confidence", "retrieval_trace"):
-        assert name + "_blended" in registry.QUERIES
-    assert "embedding_rescore_rank" in registry.QUERIES
-
-
-def test_blended_rank_on_tables(spark):
-    d = "/root/testdata/sf0.001"
-    plain = registry.QUERIES["sid_rank"](spark, d).count()
-    blend = registry.QUERIES["sid_rank_blended"](spark, d).collect()
-    assert len(blend) == plain and any(round(r["score"] * 3) != round(r["score"] * 3, 4) for r in blend)
+def test_ranks_blend_on_tables(spark):
+    blend = registry.QUERIES["sid_rank"](spark, "/root/testdata/sf0.001").collect()
+    assert any(round(r["score"] * 3) != round(r["score"] * 3, 4) for r in blend)
