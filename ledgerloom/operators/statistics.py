@@ -32,20 +32,32 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), tie: str =
     return ranked.withColumn("p_bh", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__ll_n") / F.col("__ll_r")).over(down))).drop("__ll_r", "__ll_n")
 
 
-def resampled(df: DataFrame, rounds: int, key: str, mixed: bool = False) -> DataFrame:
-    """``df`` times ``rounds`` with ``round`` and a weight 0 to 3 that depends on key and round alone.
+#: A prime below 2**31, so that squares fit 64 bits.
+_P = 2_147_483_647
+#: Millionths of the Poisson distribution with mean 1 up to 0, 1, 2, ...
+_POISSON = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406, 999_917, 999_990)
 
-    Weights come from arithmetic that any engine repeats; rows are exploded
-    lazily and meant to be summed at once, by round, before any shuffle. That arithmetic
-    is linear in the key and repeats over thousands of rounds; ``mixed`` takes a hash.
+
+def resampled(df: DataFrame, rounds: int, key: str) -> DataFrame:
+    """``df`` times ``rounds`` with ``round`` and ``weight``: how often a resample of as many rows as there are has the row.
+
+    Weights are Poisson with mean 1 and depend on key and round alone, by arithmetic that
+    any engine repeats (``RESAMPLED``). Rows are exploded lazily and meant to be summed at
+    once, by round, before any shuffle.
     """
-    weight = F.pmod((F.col(key) % 100_003) * (F.col("round") * 7919 + 31) + F.col("round") * F.col("round") * 104_729, F.lit(1_000_003)) % 8
-    weight = F.pmod(F.xxhash64(key, "round"), F.lit(8)) if mixed else weight
-    deal = F.when(weight < 3, 0).when(weight < 6, 1).when(weight < 7, 2).otherwise(3)
-    return df.withColumn("round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(rounds).cast("bigint")))).withColumn("weight", deal)
+    x1 = (F.pmod(F.col(key).cast("bigint"), F.lit(1_000_003)) * 7919 + F.col("round") * 104_729 + 12_345) % _P
+    x2 = (F.col("__ll_x1") * F.col("__ll_x1") + 1_013_904_223) % _P
+    u = (F.col("__ll_x2") * F.col("__ll_x2") + F.col("__ll_x1")) % _P % 1_000_000
+    steps = df.withColumn("round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(rounds).cast("bigint")))).withColumn("__ll_x1", x1).withColumn("__ll_x2", x2).withColumn("__ll_u", u)
+    deal = sum((F.when(F.col("__ll_u") >= t, 1).otherwise(0) for t in _POISSON), F.lit(0))
+    return steps.withColumn("weight", deal).drop("__ll_x1", "__ll_x2", "__ll_u")
 
 
-RESAMPLED = "CASE WHEN w < 3 THEN 0 WHEN w < 6 THEN 1 WHEN w < 7 THEN 2 ELSE 3 END"
+def RESAMPLED(table: str, key: str, rounds: int) -> str:  # noqa: N802
+    """The same as SQL: common table expressions of which ``z`` has the rows with round and weight."""
+    deal = " + ".join(f"(u >= {t})::INT" for t in _POISSON)
+    return f"""z1 AS (SELECT {table}.*, j AS round, (({key} % 1000003) * 7919 + j * 104729 + 12345) % {_P} x1 FROM {table}, range(1, {rounds + 1}) t(j)), z2 AS (SELECT *, (x1 * x1 + 1013904223) % {_P} x2 FROM z1),
+z3 AS (SELECT *, (x2 * x2 + x1) % {_P} % 1000000 u FROM z2), z AS (SELECT *, {deal} weight FROM z3)"""
 
 
 def fit_line(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple[Column, Column]:
@@ -55,24 +67,27 @@ def fit_line(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tup
     return slope, (sy - slope * sx) / n
 
 
-def best_of_grid(df: DataFrame, grid: DataFrame, thresholds: dict[str, str], decide: Column, truth: str, yes: str, no: str, by: str | None = None, weight: str | None = None) -> DataFrame:
+def best_of_grid(df: DataFrame, grid: DataFrame, thresholds: dict[str, str], decide: Column, truth: str, yes: str, no: str, by: str | None = None, weight: str | None = None, strict: Sequence[str] = ()) -> DataFrame:
     """Per grid row: agreement of ``decide`` with ``truth`` and mean of what the decision earns.
 
-    ``thresholds`` maps a data column to the grid column it is compared with (>=).
+    ``thresholds`` maps a data column to the grid column it is compared with: ``decide`` reads
+    ``ge_<column>``, for those in ``strict`` also ``gt_<column>``. Missing values reach nothing.
     Rows are first counted by the grid values they reach, so the grid meets a
     table as large as the product of the grid's axes, however many rows there are.
     With ``by`` each of its values has its own evaluation; ``weight`` counts a row so many times.
     """
     axes = {x: sorted(r[0] for r in grid.select(g).distinct().collect()) for x, g in thresholds.items()}  # the grid is a parameter
     reached = {x: sum((F.when(F.col(x) >= float(v), 1).otherwise(0) for v in values), F.lit(0)) for x, values in axes.items()}
+    passed = {x: sum((F.when(F.col(x) > float(v), 1).otherwise(0) for v in axes[x]), F.lit(0)) for x in strict}
     flags = [c for c in df.columns if c not in thresholds and c not in (truth, yes, no, by, weight)]
     each, n = [by] if by else [], F.col(weight) if weight else F.lit(1)
-    cells = df.groupBy(*(r.alias(f"at_{x}") for x, r in reached.items()), *flags, *each, F.col(truth).alias("truth")).agg(F.sum(n).alias("n"), F.sum(n * F.col(yes)).alias("yes"), F.sum(n * F.col(no)).alias("no"))
+    cells = df.groupBy(*(r.alias(f"at_{x}") for x, r in reached.items()), *(r.alias(f"past_{x}") for x, r in passed.items()), *flags, *each, F.col(truth).alias("truth")).agg(F.sum(n).alias("n"), F.sum(n * F.col(yes)).alias("yes"), F.sum(n * F.col(no)).alias("no"))
     # Parameters times cells of parameters; with ``by`` the cells are the larger side.
     met = cells.where("n > 0").repartition(by).crossJoin(F.broadcast(grid)) if by else grid.crossJoin(F.broadcast(cells))
     for x, g in thresholds.items():
         place = F.array_position(F.array(*(F.lit(float(v)) for v in axes[x])), F.col(g).cast("double"))
         met = met.withColumn(f"ge_{x}", F.col(f"at_{x}") >= place)
+        met = met.withColumn(f"gt_{x}", F.col(f"past_{x}") >= place) if x in passed else met
     chosen = met.withColumn("use", decide)
     return chosen.groupBy(*each, *grid.columns).agg(
         F.round(F.sum(F.when(F.col("use") == F.col("truth"), F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("agreement"),

@@ -145,10 +145,10 @@ def eval_split(spark, d):
     return v.join(part, "run_index", "left_semi")
 
 
-@query(f"WITH {V}, r AS (SELECT (rank() OVER (ORDER BY hm) + (count(*) OVER (PARTITION BY hm) - 1) / 2.0)::DOUBLE a, (rank() OVER (ORDER BY hmt) + (count(*) OVER (PARTITION BY hmt) - 1) / 2.0)::DOUBLE b FROM (SELECT round(hm, 6) hm, round(hmt, 6) hmt FROM v)) SELECT round(corr(a, b), 6) rho, count(*)::BIGINT n FROM r")
+@query(f"WITH {V}, r AS (SELECT (rank() OVER (ORDER BY hm) + (count(*) OVER (PARTITION BY hm) - 1) / 2.0)::DOUBLE a, (rank() OVER (ORDER BY hmt) + (count(*) OVER (PARTITION BY hmt) - 1) / 2.0)::DOUBLE b FROM (SELECT round(hm, 6) hm, round(hmt, 6) hmt FROM v)) SELECT CASE WHEN count(*) >= 3 THEN round(corr(a, b), 6) END rho, count(*)::BIGINT n FROM r")
 def spearman(spark, d):
     v = durable(gains(spark, d).select("run_index", F.round("hm", 6).alias("hm"), F.round("hmt", 6).alias("hmt")), "gains")
-    return average_ranks(average_ranks(v, "hm", "a"), "hmt", "b").agg(F.round(F.corr("a", "b"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return average_ranks(average_ranks(v, "hm", "a"), "hmt", "b").agg(F.when(F.count(F.lit(1)) >= 3, F.round(F.corr("a", "b"), 6)).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {V}, r AS (SELECT dataset = 'amazon' y, (rank() OVER (ORDER BY hm) + (count(*) OVER (PARTITION BY hm) - 1) / 2.0)::DOUBLE a FROM (SELECT dataset, round(hm, 6) hm FROM v)), s AS (SELECT sum(a) FILTER (y) ra, count(*) FILTER (y)::DOUBLE p, count(*) FILTER (NOT y)::DOUBLE q FROM r) SELECT round((ra - p * (p + 1) / 2) / (p * q), 6) auc FROM s")

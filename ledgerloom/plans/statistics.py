@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import policies
+from ledgerloom.functions.scores import ndcg
 from ledgerloom.operators import statistics as Z
 from ledgerloom.operators.drawing import by_hash, by_quota, disjoint_by_condition, proportional_quotas
 from ledgerloom.operators.numbering import numbered
 from ledgerloom.plans.ingest import _register
-from ledgerloom.plans.views import I, V, gains, interactions
+from ledgerloom.plans.views import CONDITIONS, I, R, V, gains, interactions, rankings
+from ledgerloom.sources.durable import durable
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL, query = _register()
@@ -36,10 +38,15 @@ def voi_cell_baseline(spark, d):
     return c.agg(F.count(F.lit(1)).alias("cells"), F.round(F.greatest(negative, 1 - negative), 6).alias("base"))
 
 
-@query(f"WITH {V} SELECT {_CELL}, count(*)::BIGINT n FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 5")
+#: The fewest rows for a paired test, a scope, a calibration, an importance, a router.
+GUARDS = {"paired": 5, "scope": 20, "calibration": 30, "importance": 40, "router": 60}
+
+
+@query(f"WITH {V} SELECT {_CELL}, count(*)::BIGINT n, " + ", ".join(f"count(*) >= {n} AS {k}" for k, n in GUARDS.items()) + f" FROM v GROUP BY 1, 2, 3 HAVING count(*) >= {GUARDS['paired']}")
 def guarded_scopes(spark, d):
-    """Scopes with five or more rows."""
-    return gains(spark, d).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    """Scopes with rows enough for a paired test, and what else they have enough for."""
+    n = gains(spark, d).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= GUARDS["paired"])
+    return n.select(*CELL, "n", *((F.col("n") >= least).alias(k) for k, least in GUARDS.items()))
 
 
 @query(f"WITH {V} SELECT dataset, coalesce(\"condition\", 'POOLED') scope, count(*)::BIGINT n, round(avg(voi), 6) delta FROM v GROUP BY GROUPING SETS ((dataset, \"condition\"), (dataset))")
@@ -74,86 +81,87 @@ def selector_stats(spark, d):
     return q.select("dataset", F.round("bf", 6).alias("best_fixed"), F.round("oracle", 6).alias("oracle"), F.round("realized", 6).alias("realized"), F.when(F.col("oracle") > 1e-9, F.round(F.col("realized") / F.col("oracle"), 5)).alias("fraction"))
 
 
-_EAA = "greatest(avg(hm), avg(hmt)) fixed, avg(greatest(hm, hmt)) best, avg(CASE WHEN run_index % 2 = 0 THEN hm ELSE hmt END) eaa, count(*) n"
+_EAA = "greatest(avg(hm), avg(hmt)) fixed, avg(greatest(hm, hmt)) best, avg(eaa) eaa, count(*) n"
+_THIRD = f"""{V}, {R("rnd", "rc")}, e AS (SELECT v.*, CASE WHEN coalesce(list_position(output, target), 0) BETWEEN 1 AND 5 THEN 1 / log2(list_position(output, target) + 1) ELSE 0e0 END eaa FROM v JOIN rc ON rc."index" = run_index WHERE output IS NOT NULL)"""
 
 
-@query(f"WITH {V}, q AS (SELECT coalesce(dataset, 'ALL') scope, {_EAA} FROM v GROUP BY GROUPING SETS ((dataset), ())) SELECT scope, n::BIGINT n, CASE WHEN best - fixed > 1e-9 THEN round((eaa - fixed) / (best - fixed), 5) END recovered FROM q WHERE n >= 20")
+@query(f"WITH {_THIRD}, q AS (SELECT coalesce(dataset, 'ALL') scope, {_EAA} FROM e GROUP BY GROUPING SETS ((dataset), ())) SELECT scope, n::BIGINT n, CASE WHEN best - fixed > 1e-9 THEN round((eaa - fixed) / (best - fixed), 5) END recovered FROM q WHERE n >= 20")
 def eaa_recovered(spark, d):
-    """Share of the headroom that a mixed run recovers, pooled and by dataset."""
-    mixed = F.when(F.col("run_index") % 2 == 0, F.col("hm")).otherwise(F.col("hmt"))
-    q = gains(spark, d).rollup("dataset").agg(F.greatest(F.avg("hm"), F.avg("hmt")).alias("fixed"), F.avg(F.greatest("hm", "hmt")).alias("best"), F.avg(mixed).alias("eaa"), F.count(F.lit(1)).alias("n"))
+    """Share of the headroom that a third run recovers, pooled and by dataset; tasks without its output are left out."""
+    third = rankings(spark, d, "rnd").where("output IS NOT NULL").select(F.col("index").alias("run_index"), ndcg(F.col("output"), F.col("target"), 5).alias("eaa"))
+    q = gains(spark, d).join(third, "run_index").rollup("dataset").agg(F.greatest(F.avg("hm"), F.avg("hmt")).alias("fixed"), F.avg(F.greatest("hm", "hmt")).alias("best"), F.avg("eaa").alias("eaa"), F.count(F.lit(1)).alias("n"))
     room = F.col("best") - F.col("fixed")
     return q.where("n >= 20").select(F.coalesce("dataset", F.lit("ALL")).alias("scope"), "n", F.when(room > 1e-9, F.round((F.col("eaa") - F.col("fixed")) / room, 5)).alias("recovered"))
 
 
-_P = f"p AS (SELECT {_CELL}, backbone || dataset || \"condition\" id, round(least(1.0, 2 * least(avg((voi <= 0)::INT), avg((voi >= 0)::INT))), 9)::DOUBLE p, avg(voi) m FROM v GROUP BY 1, 2, 3)"
-_BH = f"{V}, {_P}, k AS (SELECT *, row_number() OVER (ORDER BY p, id) r, count(*) OVER () n FROM p), bh AS (SELECT *, least(1e0, min(p * n / r) OVER (ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)) p_bh FROM k)"
+#: Resamples; the operator's default.
+ROUNDS = 5000
+_BOOT = f"{V}, {Z.RESAMPLED('v', 'run_index', ROUNDS)}"
+_MEANS = "round(sum(weight * voi) / nullif(sum(weight), 0), 12) m"
+_TEST = "round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6)::DOUBLE p"
+_VERDICT = "CASE WHEN lo > 0 THEN 'helps*' WHEN hi < 0 THEN 'hurts*' ELSE 'ns' END"
 
 
-def _tested(spark, d):
+def bootstrapped(paired: DataFrame, by: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """Per ``by`` the interval of the mean gain over resamples of the runs, and the two-sided p."""
+    z = Z.resampled(paired.select("run_index", *by, "voi"), rounds, "run_index")
+    m = z.groupBy(*by, "round").agg(F.round(F.try_divide(F.sum(F.col("weight") * F.col("voi")), F.sum("weight")), 12).alias("m")).where("m IS NOT NULL")
     sign = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    p = gains(spark, d).groupBy(*CELL).agg(F.round(F.least(F.lit(1.0), 2 * F.least(sign(F.col("voi") <= 0), sign(F.col("voi") >= 0))), 9).alias("p"), F.avg("voi").alias("m"))
-    return Z.benjamini_hochberg(p.withColumn("id", F.concat(*CELL)), "p")
+    return m.groupBy(*by).agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"), F.round(F.least(F.lit(1.0), 2 * F.least(sign(F.col("m") <= 0), sign(F.col("m") >= 0))), 6).alias("p"))
 
 
-@query(f"WITH {_BH} SELECT id, p, round(p_bh, 6) p_bh FROM bh")
-def bh_fdr(spark, d):
-    return _tested(spark, d).select("id", "p", F.round("p_bh", 6).alias("p_bh"))
+def _spread(spark, df: DataFrame) -> DataFrame:
+    """Rows are few, what becomes of them is many: over all cores."""
+    return df.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
-@query(f"WITH {_BH} SELECT id, CASE WHEN p_bh >= 0.9 THEN 'ns' WHEN m > 0 THEN 'helps' ELSE 'hurts' END verdict FROM bh")
-def verdicts(spark, d):
-    return _tested(spark, d).select("id", F.when(F.round("p_bh", 9) >= 0.9, "ns").when(F.col("m") > 0, "helps").otherwise("hurts").alias("verdict"))
+def _verdict():
+    return F.when(F.col("lo") > 0, "helps*").when(F.col("hi") < 0, "hurts*").otherwise("ns")
 
 
-ROUNDS = 100
-_W = f"w AS (SELECT v.*, j AS round, ((run_index % 100003) * (j * 7919 + 31) + j * j * 104729) % 1000003 % 8 w FROM v, range(1, {ROUNDS + 1}) t(j)), z AS (SELECT *, {Z.RESAMPLED} weight FROM w)"
+@query(f"WITH {_BOOT}, m AS (SELECT dataset, round, {_MEANS} FROM z GROUP BY 1, 2), b AS (SELECT dataset, {_TEST} FROM m WHERE m IS NOT NULL GROUP BY 1), a AS (SELECT dataset, count(*)::BIGINT n, round(avg(voi), 6) delta FROM v GROUP BY 1) SELECT dataset, n, delta, lo, hi, p, {_VERDICT} verdict, delta > 0 AND lo > 0 AS compelling FROM b JOIN a USING (dataset)")
+def paired_bootstrap(spark, d):
+    """Mean gain over resamples of the runs: interval, two-sided p and what they say."""
+    v = gains(spark, d).select("run_index", "dataset", "voi")
+    a = v.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("voi"), 6).alias("delta"))
+    b = bootstrapped(_spread(spark, v), ["dataset"]).join(a, "dataset")
+    return b.select("dataset", "n", "delta", "lo", "hi", "p", _verdict().alias("verdict"), ((F.col("delta") > 0) & (F.col("lo") > 0)).alias("compelling"))
 
 
-@query(f"WITH {V}, {_W}, m AS (SELECT dataset, round, sum(weight * voi) / nullif(sum(weight), 0) m FROM z GROUP BY 1, 2) SELECT dataset, round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6)::DOUBLE p FROM m WHERE m IS NOT NULL GROUP BY 1")
-def paired_bootstrap(spark, d):
-    """Mean gain over resamples of the runs: interval and two-sided p."""
-    return _bootstrapped(gains(spark, d), ROUNDS)
+_BH = f"""{_BOOT}, k0 AS (SELECT {_CELL}, round, {_MEANS} FROM z GROUP BY 1, 2, 3, 4), b AS (SELECT {_CELL}, {_TEST} FROM k0 WHERE m IS NOT NULL GROUP BY 1, 2, 3), a AS (SELECT {_CELL}, avg(voi) delta FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+k AS (SELECT backbone || dataset || "condition" id, lo, hi, p, delta, row_number() OVER (ORDER BY p, backbone || dataset || "condition") r, count(*) OVER () n FROM b JOIN a USING (backbone, dataset, "condition")), bh AS (SELECT *, least(1e0, min(p * n / r) OVER (ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)) p_bh FROM k)"""
 
 
-def _bootstrapped(paired: DataFrame, rounds: int, mixed: bool = False) -> DataFrame:
-    z = Z.resampled(paired.select("run_index", "dataset", "voi"), rounds, "run_index", mixed)
-    m = z.groupBy("dataset", "round").agg(F.try_divide(F.sum(F.col("weight") * F.col("voi")), F.sum("weight")).alias("m")).where("m IS NOT NULL")
-    sign = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return m.groupBy("dataset").agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"), F.round(F.least(F.lit(1.0), 2 * F.least(sign(F.col("m") <= 0), sign(F.col("m") >= 0))), 6).alias("p"))
+def _tested(spark, d):
+    v = gains(spark, d).select("run_index", *CELL, "voi")
+    a = v.groupBy(*CELL).agg(F.avg("voi").alias("delta"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= GUARDS["paired"]).drop("n")
+    return Z.benjamini_hochberg(bootstrapped(_spread(spark, v), CELL).join(a, CELL).withColumn("id", F.concat(*CELL)), "p")
 
 
-@query()
-def paired_bootstrap_5000(spark, d):
-    """The same over the operator's 5000 resamples."""
-    v = gains(spark, d).select("run_index", "dataset", "voi")
-    return _bootstrapped(v.repartition(2 * spark.sparkContext.defaultParallelism), 5000, mixed=True)  # rows are few, resamples many
+@query(f"WITH {_BH} SELECT id, p, round(p_bh, 6) p_bh FROM bh")
+def bh_fdr(spark, d):
+    """The p of each cell with rows enough, and as adjusted for their number."""
+    return _tested(spark, d).select("id", "p", F.round("p_bh", 6).alias("p_bh"))
 
 
-_TH = "[0.05, 0.15, 0.3, 0.45, 0.6, 0.75]"
+#: Share of false discoveries that a verdict allows.
+ALPHA = 0.05
 
 
-@query(f"""WITH {V}, {_W}, g AS (SELECT round, h, sum(CASE WHEN (hm < h) = (voi > 0) THEN weight ELSE 0 END) a FROM z, (SELECT unnest({_TH})::DOUBLE h) GROUP BY 1, 2), b AS (SELECT round, arg_max(h, (a, -h)) h FROM g GROUP BY 1),
-l AS (SELECT list(h ORDER BY h) s FROM b) SELECT s[round_even(0.025 * (len(s) - 1), 0)::INT + 1] lo, s[round_even(0.975 * (len(s) - 1), 0)::INT + 1] hi FROM l""")
-def threshold_ci(spark, d):
-    """Spread of the best threshold over resamples; nearest ranks."""
-    z = Z.resampled(gains(spark, d).select("run_index", "hm", "voi"), ROUNDS, "run_index")
-    right = lambda h: F.sum(F.when((F.col("hm") < h) == (F.col("voi") > 0), F.col("weight")).otherwise(0))
-    grid = (0.05, 0.15, 0.3, 0.45, 0.6, 0.75)
-    a = z.groupBy("round").agg(*(right(h).alias(f"a{k}") for k, h in enumerate(grid)))
-    best = a.select((-F.array_max(F.array(*(F.struct(F.col(f"a{k}").alias("a"), F.lit(-h).alias("h")) for k, h in enumerate(grid))))["h"]).alias("h"))
-    s = best.agg(F.array_sort(F.collect_list("h")).alias("s"))  # as many values as rounds
-    at = lambda q: F.get("s", F.bround(F.lit(q) * (F.size("s") - 1), 0).cast("int"))
-    return s.select(at(0.025).alias("lo"), at(0.975).alias("hi"))
-
-
-@query(f"WITH {V}, o AS (SELECT run_index, dataset, row_number() OVER (PARTITION BY dataset ORDER BY md5(run_index::VARCHAR), run_index) r, count(*) OVER (PARTITION BY dataset) n FROM v) SELECT run_index, dataset, CASE WHEN r <= greatest(1, least(n - 1, floor(n * 3 / 10))) THEN 'validation' ELSE 'heldout' END part FROM o")
+@query(f"WITH {_BH} SELECT id, {_VERDICT} verdict, CASE WHEN p_bh < {ALPHA} AND delta > 0 THEN 'helps*' WHEN p_bh < {ALPHA} AND delta < 0 THEN 'hurts*' ELSE 'ns' END verdict_bh FROM bh")
+def verdicts(spark, d):
+    """By the interval, and by the adjusted p."""
+    sure = F.col("p_bh") < ALPHA
+    return _tested(spark, d).select("id", _verdict().alias("verdict"), F.when(sure & (F.col("delta") > 0), "helps*").when(sure & (F.col("delta") < 0), "hurts*").otherwise("ns").alias("verdict_bh"))
+
+
+@query(f"WITH {V}, o AS (SELECT run_index, dataset, row_number() OVER (PARTITION BY dataset ORDER BY md5(run_index::VARCHAR), run_index) r, count(*) OVER (PARTITION BY dataset) n FROM v) SELECT run_index, dataset, CASE WHEN r <= least(n - 1, greatest(1, round_even(n * 0.3e0, 0))) THEN 'validation' ELSE 'heldout' END part FROM o")
 def validation_split(spark, d):
-    """Three tenths of each dataset by the order of a hash, at least one and never all."""
+    """Three tenths of each dataset by the order of a hash, rounded to even, at least one where there are two, never all."""
     v = gains(spark, d).select("run_index", "dataset", F.md5(F.col("run_index").cast("string")).alias("h"))
     sizes = v.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     r = numbered(v, ["dataset"], ["h", "run_index"], "r").join(sizes, "dataset")
-    cut = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * 3 / 10)))
+    cut = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(0.3), 0).cast("bigint")))
     return r.select("run_index", "dataset", F.when(F.col("r") <= cut, "validation").otherwise("heldout").alias("part"))
 
 
@@ -255,78 +263,81 @@ def policy_esa(spark, d):
     return s.groupBy("dataset").agg(F.round(right, 6).alias("esa"), F.round(100 * F.avg(F.when(F.col("use"), 1.0).otherwise(0.0)), 1).alias("usage"), F.round(F.avg(F.when(F.col("use"), F.col("hmt")).otherwise(F.col("hm"))), 6).alias("earned"))
 
 
-GRID = {"g_dense": (1, 3, 5, 8, 12, 20, 50, 100), "g_rich": (0.1, 0.25, 0.35, 0.45, 0.6, 0.8), "g_margin": (0.0, 0.02, 0.1, 0.3, 0.5), "g_top1": (0.15, 0.4, 0.6, 1.0)}
-_GRID = ", ".join(f"(SELECT unnest([{', '.join(map(str, v))}])::DOUBLE {k})" for k, v in GRID.items())
-_GRID_SQL = f"""{_SIG}, gr AS (SELECT *, CASE WHEN reviews >= g_dense AND richness >= g_rich THEN false WHEN reviews <= 5 THEN true ELSE margin >= g_margin OR top1 >= g_top1 END AS use FROM sg, {_GRID}),
-ev AS (SELECT g_dense, g_rich, g_margin, g_top1, round(avg((use = (voi > 0))::INT), 9) agreement, round(avg(CASE WHEN use THEN hmt ELSE hm END), 9) earned FROM gr GROUP BY 1, 2, 3, 4)"""
+#: The axes of the calibration, and the history length from which it counts as dense.
+GRID = {"g_dense": (1, 2, 3, 4, 5, 6, 7, 8), "g_rich": (0.30, 0.35, 0.40, 0.45, 0.50, 0.55), "g_margin": (0.01, 0.02, 0.05, 0.08, 0.10), "g_top1": (0.10, 0.15, 0.20, 0.25)}
+DENSE_CHARS = 2000
+_AXES = {"g_dense": "reviews", "g_rich": "richness", "g_margin": "margin", "g_top1": "top1"}
+_GRID = ", ".join(f"(SELECT unnest([{', '.join(map(str, v))}])::DOUBLE {k}, unnest(range(1, {len(v) + 1})) i{k})" for k, v in GRID.items())
+_REACHED = ", ".join(f"len(list_filter([{', '.join(map(str, v))}]::DOUBLE[], lambda x: x <= {_AXES[k]})) a{k}" for k, v in GRID.items())
+_USE = "CASE WHEN (ag_dense >= ig_dense OR long) AND ag_rich >= ig_rich THEN false WHEN past < ig_dense THEN true ELSE ag_margin >= ig_margin OR ag_top1 >= ig_top1 END"
+
 
+def _GRID_SQL(rows: str, weight: str, by: str = "") -> str:  # noqa: N802
+    """Cells of rows that reach the same grid values, met by the grid; ``ev`` has what each setting gets."""
+    first = f"{by}, " if by else ""
+    return f"""ce AS (SELECT {first}{_REACHED}, len(list_filter([{', '.join(map(str, GRID["g_dense"]))}]::DOUBLE[], lambda x: x < reviews)) past, chars >= {DENSE_CHARS} AS long, voi > 0 AS truth, sum({weight}) n, sum({weight} * hmt) yes, sum({weight} * hm) AS no FROM {rows} GROUP BY ALL),
+gr AS (SELECT *, {_USE} AS use FROM ce, {_GRID} WHERE n > 0),
+ev AS MATERIALIZED (SELECT {first}g_dense, g_rich, g_margin, g_top1, round(sum(CASE WHEN use = truth THEN n ELSE 0 END) / sum(n), 9) agreement, round(sum(CASE WHEN use THEN yes ELSE no END) / sum(n), 9) earned FROM gr GROUP BY ALL)"""
 
-def _evaluated(spark, d) -> DataFrame:
-    grid = spark.createDataFrame([tuple(map(float, x)) for x in product(*GRID.values())], ", ".join(f"{k} double" for k in GRID)).coalesce(1)
-    s = _signals(spark, d).select("reviews", "richness", "margin", "top1", (F.col("reviews") <= 5).alias("sparse"), (F.col("voi") > 0).alias("truth"), F.col("hmt").alias("yes"), F.col("hm").alias("no"))
-    decide = F.when(F.col("ge_reviews") & F.col("ge_richness"), False).when(F.col("sparse"), True).otherwise(F.col("ge_margin") | F.col("ge_top1"))
-    return Z.best_of_grid(s, grid, {"reviews": "g_dense", "richness": "g_rich", "margin": "g_margin", "top1": "g_top1"}, decide, "truth", "yes", "no")
+
+def _evaluated(signals: DataFrame, by: str | None = None, weight: str | None = None) -> DataFrame:
+    """What each of the 960 settings gets: the first axis moves the bound of a dense and of a sparse history."""
+    grid = signals.sparkSession.createDataFrame([tuple(map(float, x)) for x in product(*GRID.values())], ", ".join(f"{k} double" for k in GRID)).coalesce(1)
+    extra = [c for c in (by, weight) if c]
+    s = signals.select("reviews", "richness", "margin", "top1", *extra, (F.col("chars") >= DENSE_CHARS).alias("long"), (F.col("voi") > 0).alias("truth"), F.col("hmt").alias("yes"), F.col("hm").alias("no"))
+    decide = F.when((F.col("ge_reviews") | F.col("long")) & F.col("ge_richness"), False).when(~F.col("gt_reviews"), True).otherwise(F.col("ge_margin") | F.col("ge_top1"))
+    return Z.best_of_grid(s, grid, {x: g for g, x in _AXES.items()}, decide, "truth", "yes", "no", by, weight, strict=("reviews",))
 
 
 _BEST = "ORDER BY agreement DESC, earned DESC, g_dense, g_rich, g_margin, g_top1 LIMIT 1"
 
 
-@query(f"WITH {_GRID_SQL} SELECT g_dense, g_rich, g_margin, g_top1, round(agreement, 6) agreement, round(earned, 6) earned FROM ev {_BEST}")
+@query(f"WITH {_SIG}, {_GRID_SQL('sg', '1')}, b AS (SELECT *, (SELECT count(*) FROM ev e WHERE e.agreement = ev.agreement AND e.earned = ev.earned) ties FROM ev {_BEST}) SELECT g_dense, g_rich, g_margin, g_top1, round(agreement, 6) agreement, round(earned, 6) earned, ties::BIGINT ties FROM b")
 def policy_grid_search(spark, d):
-    """The best of 960 settings: agreement, then earnings, then the first."""
-    e = _evaluated(spark, d).orderBy(F.desc("agreement"), F.desc("earned"), *GRID).limit(1)
-    return e.select(*GRID, F.round("agreement", 6).alias("agreement"), F.round("earned", 6).alias("earned"))
+    """The best of 960 settings: agreement, then earnings, then the first; and how many are as good."""
+    e = _evaluated(_signals(spark, d))
+    best = e.groupBy("agreement", "earned").agg(F.min(F.struct(*GRID)).alias("b"), F.count(F.lit(1)).alias("ties")).orderBy(F.desc("agreement"), F.desc("earned")).limit(1)
+    return best.select("b.*", F.round("agreement", 6).alias("agreement"), F.round("earned", 6).alias("earned"), "ties")
 
 
-@query(f"WITH {_GRID_SQL}, b AS (SELECT * FROM ev {_BEST}) SELECT ev.g_margin, round(ev.agreement, 6) agreement, round(ev.earned, 6) earned FROM ev JOIN b ON ev.g_dense = b.g_dense AND ev.g_rich = b.g_rich AND ev.g_top1 = b.g_top1")
+@query(f"WITH {_SIG}, {_GRID_SQL('sg', '1')}, b AS (SELECT * FROM ev {_BEST}) SELECT ev.g_margin, round(ev.agreement, 6) agreement, round(ev.earned, 6) earned FROM ev JOIN b ON ev.g_dense = b.g_dense AND ev.g_rich = b.g_rich AND ev.g_top1 = b.g_top1")
 def sensitivity_sweep(spark, d):
     """The optimum with one threshold moved."""
-    e = _evaluated(spark, d)
+    e = durable(_evaluated(_signals(spark, d)), "settings")  # 960 rows
     best = e.orderBy(F.desc("agreement"), F.desc("earned"), *GRID).limit(1).select("g_dense", "g_rich", "g_top1")
     return e.join(F.broadcast(best), ["g_dense", "g_rich", "g_top1"]).select("g_margin", F.round("agreement", 6).alias("agreement"), F.round("earned", 6).alias("earned"))
 
 
-@query()
-def threshold_ci_grid(spark, d):
-    """Spread of the best review and richness thresholds over 200 resamples, the 960 settings searched in each; nearest ranks."""
-    return _threshold_spread(_signals(spark, d), 200)
+CI_ROUNDS = 200
 
 
-def _threshold_spread(signals: DataFrame, rounds: int) -> DataFrame:
-    grid = signals.sparkSession.createDataFrame([tuple(map(float, x)) for x in product(*GRID.values())], ", ".join(f"{k} double" for k in GRID)).coalesce(1)
-    s = signals.select("run_index", "reviews", "richness", "margin", "top1", (F.col("reviews") <= 5).alias("sparse"), (F.col("voi") > 0).alias("truth"), F.col("hmt").alias("yes"), F.col("hm").alias("no"))
-    decide = F.when(F.col("ge_reviews") & F.col("ge_richness"), False).when(F.col("sparse"), True).otherwise(F.col("ge_margin") | F.col("ge_top1"))
-    e = Z.best_of_grid(Z.resampled(s, rounds, "run_index", mixed=True).drop("run_index"), grid, {"reviews": "g_dense", "richness": "g_rich", "margin": "g_margin", "top1": "g_top1"}, decide, "truth", "yes", "no", "round", "weight")
+@query(f"""WITH {_SIG}, {Z.RESAMPLED('sg', 'run_index', CI_ROUNDS)}, {_GRID_SQL('z', 'weight', 'round')}, b AS (SELECT round, arg_min(g_dense, (-agreement, -earned, g_dense, g_rich, g_margin, g_top1)) dense, arg_min(g_rich, (-agreement, -earned, g_dense, g_rich, g_margin, g_top1)) rich FROM ev GROUP BY 1),
+l AS (SELECT 'reviews' AS threshold, list(dense ORDER BY dense) s FROM b UNION ALL SELECT 'richness', list(rich ORDER BY rich) FROM b) SELECT threshold, s[round_even(0.025 * (len(s) - 1), 0)::INT + 1] lo, s[round_even(0.975 * (len(s) - 1), 0)::INT + 1] hi FROM l""")
+def threshold_ci(spark, d):
+    """Spread of the best review and richness thresholds over resamples, the 960 settings searched in each; nearest ranks."""
+    return threshold_spread(_signals(spark, d), CI_ROUNDS)
+
+
+def threshold_spread(signals: DataFrame, rounds: int) -> DataFrame:
+    s = signals.select("run_index", "reviews", "chars", "richness", "margin", "top1", "voi", "hm", "hmt")
+    e = _evaluated(Z.resampled(s, rounds, "run_index"), "round", "weight")
     best = e.groupBy("round").agg(F.min(F.struct((-F.col("agreement")).alias("a"), (-F.col("earned")).alias("e"), *GRID)).alias("b"))
     sorts = best.agg(*(F.array_sort(F.collect_list(f"b.{g}")).alias(g) for g in ("g_dense", "g_rich")))  # as many values as rounds
     at = lambda g, q: F.get(g, F.bround(F.lit(q) * (F.size(g) - 1), 0).cast("int"))
     return sorts.select(F.inline(F.array(*(F.struct(F.lit(name).alias("threshold"), at(g, 0.025).alias("lo"), at(g, 0.975).alias("hi")) for name, g in (("reviews", "g_dense"), ("richness", "g_rich"))))))
 
 
-_RULES = ("or", "and", "first")
+_SHARES = "[" + ", ".join(f"{k / 10}" for k in range(1, 10)) + "]"
 
 
-@query(f"""WITH {_SIG}, th AS (SELECT a, b, form FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE a), (SELECT unnest([1, 5, 10, 20, 50])::DOUBLE b), (SELECT unnest(['or', 'and', 'first']) form)),
-ru AS (SELECT a, b, form, avg(CASE WHEN ok THEN voi ELSE 0 END) gain, avg(ok::INT) rate FROM (SELECT *, CASE form WHEN 'or' THEN top1 < a OR reviews < b WHEN 'and' THEN top1 < a AND reviews < b ELSE top1 < a END ok FROM sg, th) GROUP BY 1, 2, 3)
-SELECT a, b, form, round(gain, 6) gain, round(rate, 6) rate FROM ru WHERE rate BETWEEN 0.05 AND 0.95 ORDER BY round(gain, 9) DESC, round(abs(rate - 0.5), 9), form, a, b LIMIT 1""")
+@query(f"""WITH {_SIG}, th AS (SELECT list_sort(list_distinct(quantile_cont(top1, {_SHARES}))) qa, list_sort(list_distinct(quantile_cont(reviews::DOUBLE, {_SHARES}))) qb FROM sg), ta AS (SELECT unnest(qa) a FROM th), tb AS (SELECT unnest(qb) b FROM th),
+ru AS (SELECT 'first' form, a, NULL::DOUBLE b FROM ta UNION ALL SELECT 'second', NULL, b FROM tb UNION ALL SELECT 'both', a, b FROM ta, tb),
+ev AS (SELECT form, a, b, sum(CASE WHEN ok THEN voi ELSE 0 END) / count(*) gain, avg(ok::INT) rate, count(*) n FROM (SELECT ru.*, voi, coalesce(a IS NULL OR top1 >= a, false) AND coalesce(b IS NULL OR reviews >= b, false) AS ok FROM sg, ru) GROUP BY 1, 2, 3)
+SELECT form, round(a, 6) a, round(b, 6) b, round(gain, 6) gain, round(rate, 6) rate FROM ev WHERE rate BETWEEN 0.05 AND 0.95 AND n >= 30 ORDER BY round(gain, 9) DESC, round(abs(rate - 0.5), 9), form, ev.a, ev.b LIMIT 1""")
 def two_feature_rule(spark, d):
-    """The best rule over two features and three forms that admits neither nearly none nor nearly all."""
-    s = _signals(spark, d)
-    a_grid, b_grid = (0.1, 0.3, 0.5, 0.7, 0.9), (1.0, 5.0, 10.0, 20.0, 50.0)
-    at = lambda c, grid: F.size(F.filter(F.array(*(F.lit(x) for x in grid)), lambda x: x <= F.col(c)))
-    cells = s.groupBy(at("top1", a_grid).alias("ra"), at("reviews", b_grid).alias("rb")).agg(F.count(F.lit(1)).alias("n"), F.sum("voi").alias("v"))  # at most 36 rows
-    rules = spark.createDataFrame([(a, b, f, i, j) for i, a in enumerate(a_grid) for j, b in enumerate(b_grid) for f in _RULES], "a double, b double, form string, ia int, ib int")
-    low_a, low_b = F.col("ra") <= F.col("ia"), F.col("rb") <= F.col("ib")
-    ok = F.when(F.col("form") == "or", low_a | low_b).when(F.col("form") == "and", low_a & low_b).otherwise(low_a)
-    r = rules.crossJoin(F.broadcast(cells)).groupBy("a", "b", "form").agg((F.sum(F.when(ok, F.col("v")).otherwise(0.0)) / F.sum("n")).alias("gain"), (F.sum(F.when(ok, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
-    best = r.where("rate BETWEEN 0.05 AND 0.95").orderBy(F.desc(F.round("gain", 9)), F.round(F.abs(F.col("rate") - 0.5), 9), "form", "a", "b").limit(1)
-    return best.select("a", "b", "form", F.round("gain", 6).alias("gain"), F.round("rate", 6).alias("rate"))
-
-
-@query()
-def two_feature_rule_percentiles(spark, d):
-    """The best rule on top score and reviews with thresholds from the data."""
-    return Z.two_feature_rule(_signals(spark, d), "top1", "reviews", "voi").select("form", "a", "b", F.round("gain", 6).alias("gain"), F.round("rate", 6).alias("rate"))
+    """The best rule on top score and reviews, with thresholds from the data."""
+    r = Z.two_feature_rule(_signals(spark, d), "top1", "reviews", "voi")
+    return r.select("form", *(F.round(c, 6).alias(c) for c in ("a", "b", "gain", "rate")))
 
 
 _DENS = f"{I}, u AS (SELECT user_id, count(*) n FROM i GROUP BY 1), e AS (SELECT list_sort(list_distinct([quantile_cont(n, 0.25), quantile_cont(n, 0.5), quantile_cont(n, 0.75)])) edges FROM u)"
@@ -358,34 +369,36 @@ def integer_strata(spark, d):
     return _density(spark, d).groupBy(F.least("n", F.lit(31)).cast("bigint").alias("stratum")).agg(F.count(F.lit(1)).alias("users"))
 
 
-_CC = "cc AS (SELECT trim(user_id) || ':' || trim(target_item_id) unit, min(trim(user_id)) u, min(user_reviews_before_task) n, coalesce(any_value(conditions)['cold_start_user'], false) a, coalesce(any_value(conditions)['cold_start_item'], false) b FROM calibration_candidate WHERE user_reviews_before_task IS NOT NULL AND conditions IS NOT NULL GROUP BY 1)"
+_CC = "cc AS (SELECT trim(user_id) || ':' || trim(target_item_id) unit, min(trim(user_id)) u, min(user_reviews_before_task) n, " + ", ".join(f"coalesce(bool_or(conditions['{c}']), false) {c}" for c in CONDITIONS) + " FROM calibration_candidate WHERE user_reviews_before_task IS NOT NULL AND conditions IS NOT NULL GROUP BY 1)"
 
 
 def _pool(spark, d) -> DataFrame:
+    """Different candidates with their user, count and condition flags."""
     rows = table(spark, d, "calibration_candidate").where("user_reviews_before_task IS NOT NULL AND conditions IS NOT NULL")
-    flag = lambda c: F.coalesce(F.bool_or(F.try_element_at("conditions", F.lit(c))), F.lit(False))
+    flag = lambda c: F.coalesce(F.bool_or(F.try_element_at("conditions", F.lit(c))), F.lit(False)).alias(c)
     unit = F.concat(F.trim("user_id"), F.lit(":"), F.trim("target_item_id")).alias("unit")
-    return rows.groupBy(unit).agg(F.min(F.trim("user_id")).alias("u"), F.min("user_reviews_before_task").alias("n"), flag("cold_start_user").alias("a"), flag("cold_start_item").alias("b"))
+    return rows.groupBy(unit).agg(F.min(F.trim("user_id")).alias("u"), F.min("user_reviews_before_task").alias("n"), *(flag(c) for c in CONDITIONS))
 
 
-@query(f"WITH {_CC}, s1 AS (SELECT unit FROM cc WHERE a ORDER BY md5(unit), unit LIMIT 300), s2 AS (SELECT unit FROM cc WHERE b AND unit NOT IN (SELECT unit FROM s1) ORDER BY md5(unit), unit LIMIT 300) SELECT 'a' AS \"condition\", unit FROM s1 UNION ALL SELECT 'b', unit FROM s2")
-def sample_per_condition(spark, d):
-    """Three hundred for each condition in turn, none twice; the number is the operator's."""
-    return disjoint_by_condition(_pool(spark, d), "unit", ["a", "b"], 300, F.col("unit"))
+#: How many are drawn for a condition, and in all to match a density.
+PER_CONDITION, IN_ALL = 300, 650
+_DRAWS, _TAKEN = [], "SELECT NULL::VARCHAR AS \"condition\", NULL::VARCHAR unit WHERE false"
+for _k, _c in enumerate(CONDITIONS):
+    _DRAWS.append(f"s{_k} AS MATERIALIZED ({_TAKEN if not _k else f'SELECT * FROM s{_k - 1}'} UNION ALL (SELECT '{_c}' AS \"condition\", unit FROM cc WHERE {_c}" + (f" AND unit NOT IN (SELECT unit FROM s{_k - 1})" if _k else "") + f" ORDER BY md5(unit), unit LIMIT {PER_CONDITION}))")
 
 
-@query(f"WITH {_CC}, p AS (SELECT *, md5(unit) h, row_number() OVER (PARTITION BY u ORDER BY md5(unit), unit) r FROM cc), q AS (SELECT *, least(greatest(n, 0), 12) s FROM p WHERE r <= 3), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, unit) o FROM q) SELECT s::BIGINT stratum, unit FROM k WHERE o <= 50")
-def stratified_quota(spark, d):
-    """Up to fifty of each stratum and three of each user; the quotas are the operator's."""
-    few = by_hash(_pool(spark, d), ["u"], F.col("unit"), 3, "unit").drop("pos").withColumn("stratum", F.least(F.greatest("n", F.lit(0)), F.lit(12)).cast("bigint"))
-    return by_hash(few, ["stratum"], F.col("unit"), 50, "unit").select("stratum", "unit")
+@query(f"WITH {_CC}, " + ", ".join(_DRAWS) + f" SELECT \"condition\", unit FROM s{len(CONDITIONS) - 1}")
+def sample_per_condition(spark, d):
+    """So many for each condition in turn, none twice; the number is the operator's."""
+    return disjoint_by_condition(durable(_pool(spark, d), "pool"), "unit", CONDITIONS, PER_CONDITION, F.col("unit"))
 
 
-@query()
-def stratified_quota_by_share(spark, d):
-    """The calibration pool matched to the density histogram of the recorded tasks: 650 in all, three of each user. The
+@query(f"""WITH {_CC}, w AS (SELECT least(greatest(n, 0), 12) s, count(*) c FROM (SELECT DISTINCT "index", user_reviews_before_task n FROM task_profile WHERE user_reviews_before_task IS NOT NULL) GROUP BY 1), qu AS (SELECT s, CASE WHEN s < 1 THEN 0 ELSE round_even(c / (SELECT sum(c) FROM w) * {IN_ALL}, 0) END quota FROM w),
+p AS (SELECT *, md5(unit) h, row_number() OVER (PARTITION BY u ORDER BY md5(unit), unit) r FROM cc), q AS (SELECT *, least(greatest(n, 0), 12) s FROM p WHERE r <= 3), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, unit) o FROM q) SELECT k.s::BIGINT stratum, unit FROM k JOIN qu USING (s) WHERE o <= quota""")
+def stratified_quota(spark, d):
+    """The calibration pool matched to the density histogram of the recorded tasks, three of each user. The
     lowest stratum has no user with an item to hold out and gets no quota."""
     stratum = F.least(F.greatest(F.col("n"), F.lit(0)), F.lit(12)).cast("bigint").alias("stratum")
     wanted = table(spark, d, "task_profile").select("index", F.col("user_reviews_before_task").alias("n")).distinct().where("n IS NOT NULL").select(stratum)
     few = by_hash(_pool(spark, d), ["u"], F.col("unit"), 3, "unit").drop("pos").withColumn("stratum", stratum)
-    return by_quota(few, "stratum", F.col("unit"), proportional_quotas(wanted, "stratum", 650, 1), "unit").select("stratum", "unit")
+    return by_quota(few, "stratum", F.col("unit"), proportional_quotas(wanted, "stratum", IN_ALL, 1), "unit").select("stratum", "unit")

@@ -18,7 +18,7 @@ def test_quotas_follow_the_target(spark, rows):
 
 def test_registered_query_follows_the_tasks(spark):
     d = "/root/testdata/sf0.001"
-    got = Counter(r["stratum"] for r in registry.QUERIES["stratified_quota_by_share"](spark, d).collect())
+    got = Counter(r["stratum"] for r in registry.QUERIES["stratified_quota"](spark, d).collect())
     t = spark.read.parquet(d + "/task_profile.parquet").select("index", "user_reviews_before_task").distinct().collect()
     share = Counter(min(max(n, 0), 12) for _, n in t if n is not None)
     assert got and all(n <= round(650 * share[s] / sum(share.values())) and s > 0 for s, n in got.items())
