@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The first letters of the English months, in order.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # Offsets from UTC in hours of the zone abbreviations in use in the
 # United States, and of UTC itself.
@@ -72,7 +72,7 @@ def with_wall_time(df: DataFrame, text: Column, out: str) -> DataFrame:
     work = work.withColumns({step("name"): part(1), step("hour"): number(3), step("half"): F.upper(part(6)), step("zone"): part(7)})
     work = work.withColumn(step("signed"), F.split(F.regexp_replace(at("zone"), r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?$", "$1|$2|$3"), r"\|"))
     digits = at("name").rlike(r"^\d")
-    month = F.when(digits, at("name").try_cast("int")).otherwise(F.floor((F.position(F.lower(F.left(at("name"), F.lit(3))), F.lit(MONTHS)) + 2) / 3).cast("int"))
+    month = F.when(digits, at("name").try_cast("int")).otherwise(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(at("name"), F.lit(3)))).cast("int"))
     hour = F.when(at("half") == "", at("hour")).when(at("hour").between(1, 12), at("hour") % 12 + F.when(at("half") == "PM", 12).otherwise(0))
     when = F.try_make_timestamp(number(0), month, number(2), hour, number(4), number(5).cast("decimal(8,6)"), F.lit("UTC"))
     known = F.create_map(*(F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 3600)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import harmonise as H
+from ledgerloom.operators.numbering import numbered
 from ledgerloom.plans.views import R, T, X, candidates, rankings, tasks
 from ledgerloom.sources.durable import scratch_path
 from ledgerloom.sources.files import read_json_lines, update_by_key, write_json_lines
@@ -67,10 +68,11 @@ def task_load(spark, d):
     return rows.select("task_no", "user_id", "target", F.array_contains("c", F.col("target")).alias("offered"))
 
 
-@query(f"WITH {T} SELECT t.\"index\" task_no, t.user_id, e.stars, length(e.review)::BIGINT chars FROM t JOIN eval_item e ON e.eval_id = t.\"index\"")
+@query(f"WITH {T} SELECT t.\"index\" task_no, t.user_id, e.stars, length(e.review)::BIGINT chars FROM t JOIN (SELECT row_number() OVER (ORDER BY eval_id) - 1 AS number, stars, review FROM eval_item) e ON e.number = t.\"index\"")
 def task_load_by_number(spark, d):
     """Tasks joined with their ground truth by number; those without are left out."""
-    truth = table(spark, d, "eval_item").select(F.col("eval_id").alias("index"), "stars", F.length("review").cast("bigint").alias("chars"))
+    told = numbered(table(spark, d, "eval_item").withColumn("all", F.lit(0)), ["all"], ["eval_id"], "number")
+    truth = told.select((F.col("number") - 1).alias("index"), "stars", F.length("review").cast("bigint").alias("chars"))
     return tasks(spark, d).join(truth, "index").select(F.col("index").alias("task_no"), "user_id", "stars", "chars")
 
 

@@ -39,12 +39,17 @@ def ndcg_per_task(spark, d):
     return r.select("index", F.round(ndcg(F.col("output"), F.col("target"), 5), 6).alias("ndcg"), F.coalesce(F.nullif(rank, F.lit(0)), F.when(F.col("output").isNotNull(), F.size("output")), F.lit(20)).cast("bigint").alias("rank"))
 
 
-@query("SELECT source, count(*)::BIGINT n, round(avg(abs(least(greatest((eval_id % 9)::DOUBLE - 2, 0), 5) - stars) / 5), 6) star_error, round(1 - avg(abs(least(greatest((eval_id % 9)::DOUBLE - 2, 0), 5) - stars) / 5), 6) preference FROM eval_item GROUP BY 1")
+@query("""SELECT source, count(*)::BIGINT n, round(avg(abs(least(greatest((eval_id % 9)::DOUBLE - 2, 0), 5) - stars) / 5), 6) star_error, round(1 - avg(abs(least(greatest((eval_id % 9)::DOUBLE - 2, 0), 5) - stars) / 5), 6) preference, round(1 - avg(0.25e0 * (eval_id % 7) / 10 + 0.25e0 * (eval_id % 5) / 10 + 0.5e0 * (eval_id % 3) / 10), 6) review_generation,
+round((2 - avg(abs(least(greatest((eval_id % 9)::DOUBLE - 2, 0), 5) - stars) / 5) - avg(0.25e0 * (eval_id % 7) / 10 + 0.25e0 * (eval_id % 5) / 10 + 0.5e0 * (eval_id % 3) / 10)) / 2, 6) overall FROM eval_item GROUP BY 1""")
 def simulation_star_error(spark, d):
-    """Error of simulated stars, which are first brought into 0 to 5."""
+    """Error of simulated stars, which are first brought into 0 to 5, and the weighted errors of texts (sentiment, emotion, topic), here of given scores."""
     simulated = F.least(F.greatest((F.col("eval_id") % 9).cast("double") - 2, F.lit(0.0)), F.lit(5.0))
     error = F.avg(F.abs(simulated - F.col("stars")) / 5)
-    return table(spark, d, "eval_item").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(error, 6).alias("star_error"), F.round(1 - error, 6).alias("preference"))
+    given = lambda by: (F.col("eval_id") % by) / F.lit(10.0)
+    texts = F.avg(0.25 * given(7) + 0.25 * given(5) + 0.5 * given(3))
+    return table(spark, d, "eval_item").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.round(error, 6).alias("star_error"), F.round(1 - error, 6).alias("preference"), F.round(1 - texts, 6).alias("review_generation"), F.round((2 - error - texts) / 2, 6).alias("overall")
+    )
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-15') a, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') b FROM events GROUP BY 1, 2), s AS (SELECT user_id, sum(a) a, sum(b) b FROM c GROUP BY 1)

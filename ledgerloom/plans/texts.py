@@ -42,16 +42,17 @@ def model_tag(spark, d):
     return table(spark, d, "documents").select("source", F.regexp_replace(F.concat("lang", F.lit(":"), "source", F.lit("/x")), "[:/]", "_").alias("tag")).distinct()
 
 
-@query("""WITH l AS (SELECT p_partkey, 'cmp [' || CASE p_size % 4 WHEN 0 THEN '1.5b' WHEN 1 THEN 'llama_' || p_size || 'b' WHEN 2 THEN 'gemma' || p_size || 'B' ELSE p_brand END || ']' s FROM part), g AS (SELECT p_partkey, replace(lower(regexp_extract(s, '\\[([^\\]]+)\\]', 1)), '_', '') t FROM l)
-SELECT p_partkey, CASE WHEN t IN ('1.5b', '3b', '7b') THEN 'Qwen' WHEN t LIKE '%llama%' THEN 'Llama' WHEN t LIKE '%gemma%' THEN 'Gemma' END family, CASE WHEN t IN ('1.5b', '3b', '7b') THEN upper(t) WHEN t LIKE '%llama%' OR t LIKE '%gemma%' THEN regexp_extract(t, '([0-9]+)b', 1) || 'B' ELSE t END size FROM g""")
+@query("""WITH l AS (SELECT p_partkey, 'cmp [' || CASE p_size % 4 WHEN 0 THEN '1.5b' WHEN 1 THEN 'llama_' || p_size || 'b' WHEN 2 THEN 'gemma' || CASE WHEN p_size % 8 = 2 THEN p_size || 'B' ELSE '' END ELSE p_brand END || ']' s FROM part), g AS (SELECT p_partkey, replace(lower(regexp_extract(s, '\\[([^\\]]+)\\]', 1)), '_', '') t FROM l)
+SELECT p_partkey, CASE WHEN t IN ('1.5b', '3b', '7b') THEN 'Qwen' WHEN regexp_matches(t, '[0-9]b') AND t LIKE '%llama%' THEN 'Llama' WHEN regexp_matches(t, '[0-9]b') AND t LIKE '%gemma%' THEN 'Gemma' END family, CASE WHEN t IN ('1.5b', '3b', '7b') THEN upper(t) WHEN regexp_matches(t, '[0-9]b') AND (t LIKE '%llama%' OR t LIKE '%gemma%') THEN regexp_extract(t, '([0-9]+)b', 1) || 'B' ELSE t END size FROM g""")
 def parse_label(spark, d):
-    """Family and size from a bracketed tag."""
+    """Family and size from a bracketed tag; a tag that names no size is told as it is."""
     kind = F.col("p_size") % 4
     size = F.col("p_size").cast("string")
-    inner = F.when(kind == 0, "1.5b").when(kind == 1, F.concat(F.lit("llama_"), size, F.lit("b"))).when(kind == 2, F.concat(F.lit("gemma"), size, F.lit("B"))).otherwise(F.col("p_brand"))
+    inner = F.when(kind == 0, "1.5b").when(kind == 1, F.concat(F.lit("llama_"), size, F.lit("b"))).when(kind == 2, F.concat(F.lit("gemma"), F.when(F.col("p_size") % 8 == 2, F.concat(size, F.lit("B"))).otherwise(""))).otherwise(F.col("p_brand"))
     label = table(spark, d, "part").select("p_partkey", F.concat(F.lit("cmp ["), inner, F.lit("]")).alias("s"))
     t = F.col("t")
-    plain, llama, gemma = t.isin("1.5b", "3b", "7b"), t.contains("llama"), t.contains("gemma")
+    sized = t.rlike("[0-9]b")
+    plain, llama, gemma = t.isin("1.5b", "3b", "7b"), sized & t.contains("llama"), sized & t.contains("gemma")
     return label.select("p_partkey", F.replace(F.lower(F.regexp_extract("s", r"\[([^\]]+)\]", 1)), F.lit("_"), F.lit("")).alias("t")).select(
         "p_partkey", F.when(plain, "Qwen").when(llama, "Llama").when(gemma, "Gemma").alias("family"),
         F.when(plain, F.upper(t)).when(llama | gemma, F.concat(F.regexp_extract(t, "([0-9]+)b", 1), F.lit("B"))).otherwise(t).alias("size"),

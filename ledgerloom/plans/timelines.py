@@ -82,6 +82,19 @@ def last_n_history(spark, d):
     return L.last_n_before(*_timed(spark, d), 10)
 
 
+@query(f"WITH {G}, t AS (SELECT user_id, task_time - CASE WHEN user_id % 2 = 0 THEN 10 * 365 * 86400 ELSE 0 END task_time FROM gt), h AS (SELECT user_id, i.item_id, i.ts, qty, i.ts < task_time AS before FROM t JOIN i USING (user_id)), k AS (SELECT *, bool_or(before) OVER (PARTITION BY user_id) found FROM h), r AS (SELECT user_id, item_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id, qty) back FROM k WHERE before OR NOT found) SELECT user_id, back, item_id, ts FROM r WHERE back <= 10")
+def last_n_or_all_history(spark, d):
+    """The ten interactions before the task's time, of all there are where none is; every other task is ten years earlier."""
+    timed, log = _timed(spark, d)
+    return L.last_n_before(timed.withColumn("task_time", F.col("task_time") - F.when(F.col("user_id") % 2 == 0, 10 * 365 * L.DAY).otherwise(0)), log, 10, fallback=True)
+
+
+@query(_LAST + " SELECT user_id, back, item_id, ts FROM h")
+def whole_history(spark, d):
+    """All interactions before the task's time, which is what a number of 0 means."""
+    return L.last_n_before(*_timed(spark, d), 0)
+
+
 _COUNTS = f"""{G}, p AS (SELECT user_id, target, task_time, count(*) FILTER (i.ts < task_time)::BIGINT AS before, count(*) FILTER (i.ts < task_time AND i.ts >= task_time - 90 * 86400)::BIGINT recent,
   count(*) FILTER (i.ts < task_time - 90 * 86400)::BIGINT outside FROM gt JOIN i USING (user_id) GROUP BY 1, 2, 3)"""
 _PROFILE = _COUNTS + """, q AS (SELECT p.*, (SELECT count(*) FROM i WHERE i.item_id = p.target AND i.ts < p.task_time)::BIGINT item_before FROM p)"""
@@ -166,15 +179,16 @@ def pair_indices(spark, d):
 
 
 _SHAPES = ((r"^\d{4}-\d{2}-\d{2}", "yyyy-MM-dd", "%Y-%m-%d"), (r"^\d{4}/\d{2}/\d{2}", "yyyy/MM/dd", "%Y/%m/%d"), (r"^\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy", "%m/%d/%Y"))
-_DATES = "epoch(coalesce(" + ", ".join(f"try_strptime(nullif(regexp_extract(trim(date), '{shape}'), ''), '{form}')" for shape, _, form in _SHAPES) + "))::BIGINT"
+_FIELDS = ("date", "date_updated", "date_added", "read_at", "started_at")
+_DATES = "epoch(coalesce(" + ", ".join(f"try_strptime(nullif(regexp_extract(trim({c}), '{shape}'), ''), '{form}')" for c in _FIELDS for shape, _, form in _SHAPES) + "))::BIGINT"
 
 
 @query(f"SELECT seq, coalesce(CASE WHEN isnan(timestamp) THEN NULL WHEN timestamp > 1e12 THEN timestamp / 1000 ELSE timestamp END, {_DATES}::DOUBLE) AS at FROM review")
 def parse_timestamp(spark, d):
-    """The plain reading of review times: numbers over 1e12 are milliseconds, dates count by the day in UTC.
-    (For all notations and zones see ``normalise_instants``.)"""
-    start = lambda shape: F.nullif(F.regexp_extract(F.btrim("date"), shape, 0), F.lit(""))
-    dated = F.coalesce(*(F.try_to_timestamp(start(shape), F.lit(form)) for shape, form, _ in _SHAPES))
+    """The plain reading of review times: numbers over 1e12 are milliseconds, else the first field that
+    starts with a date, which counts by the day in UTC. (For all notations and zones see ``normalise_instants``.)"""
+    start = lambda c, shape: F.nullif(F.regexp_extract(F.btrim(c), shape, 0), F.lit(""))
+    dated = F.coalesce(*(F.try_to_timestamp(start(c, shape), F.lit(form)) for c in _FIELDS for shape, form, _ in _SHAPES))
     number = F.when(F.isnan("timestamp"), None).when(F.col("timestamp") > 1e12, F.col("timestamp") / 1000).otherwise(F.col("timestamp"))
     return table(spark, d, "review").select("seq", F.coalesce(number, F.unix_seconds(dated).cast("double")).alias("at"))
 

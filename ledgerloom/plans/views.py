@@ -9,7 +9,7 @@ from ledgerloom.operators.timelines import first_occurrences
 from ledgerloom.sources.durable import durable
 from ledgerloom.sources.tables import table
 
-#: Conditions in the order in which rows are dealt to them.
+#: Conditions in the order in which rows are dealt to them.
 CONDITIONS = ("classic", "cold_start_user", "cold_start_item", "evolving_interest")
 
 
