@@ -78,3 +78,20 @@ def update_by_key(table: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     new = changes.withColumnsRenamed({c: f"__ll_{c}" for c in values})
     joined = table.join(new, list(keys), "left")
     return joined.select(*(F.coalesce(f"__ll_{c}", c).alias(c) if c in values else F.col(c) for c in table.columns))
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Prediction records as JSON lines, a folder per run (column ``run``, its file name): what ``read_predictions`` reads."""
+    df.select("run", "run_index", "groundtruth", "output", "error").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("run").json(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(run_index, groundtruth, output, error, run); the target stands under either of its two names."""
+    schema = "run_index bigint, groundtruth struct<`ground truth`: string, ground_truth: string>, output array<string>, error string, run string"
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumn("groundtruth", F.coalesce(F.col("groundtruth.`ground truth`"), F.col("groundtruth.ground_truth")))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; NULL is the empty cell."""
+    df.write.mode("overwrite").option("header", True).csv(path)
