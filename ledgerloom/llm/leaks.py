@@ -120,15 +120,16 @@ class Searcher:
         keys, shift = [], int(self.reach - 1).bit_length()
         first_block = np.concatenate(([0], np.cumsum((np.diff(begin) >> shift) + 2)))
         position, string = self.search.search(text)
-        found = np.searchsorted(np.flatnonzero(text == ord(" ")), position)
+        found = np.cumsum(text == ord(" "), dtype=np.int32)[position].astype(np.int64) - 1
+        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         for places, at in ((self.ahead, found[self.found_first[string]]), (self.behind, found[self.found_last[string]])):
-            doc = np.searchsorted(begin, at, side="right") - 1
+            here = words[at]
             for gap in range(1, self.rule.between + 2):
-                first = at if places is self.ahead else at - gap
-                inside = (first >= begin[doc]) & (first + gap < begin[doc + 1])
-                first = first[inside]
-                hit, place = places.of(words[first] * self.size + words[first + gap])
-                first, own = first[hit], doc[inside][hit]
+                first, last = (at, np.minimum(at + gap, len(words) - 1)) if places is self.ahead else (np.maximum(at - gap, 0), at)
+                hit, place = places.of(here * self.size + words[last] if places is self.ahead else words[first] * self.size + here)
+                same = owner[first[hit]] == owner[last[hit]]
+                first, place = first[hit][same], place[same]
+                own = owner[first]
                 block = first_block[own] + ((first - begin[own]) >> shift) + 1
                 keys.append(block * self.places + place)
         key = _distinct(np.concatenate(keys))
@@ -138,15 +139,15 @@ class Searcher:
         dense = far < len(key)
         dense[dense] = key[far[dense]] - key[dense] <= self.rule.stretch - 2
         group = key // self.places * len(self.texts) + text
-        for g in _distinct(group[dense]).tolist():
+        likely = _distinct(group[dense])
+        document = np.searchsorted(first_block, likely // len(self.texts), side="right") - 1
+        for g, d, a, b in zip(likely.tolist(), document.tolist(), np.searchsorted(group, likely).tolist(), np.searchsorted(group, likely + 1).tolist(), strict=True):
             block, k = divmod(g, len(self.texts))
-            a, b = np.searchsorted(group, [g, g + 1])
             there = np.zeros(len(self.texts[k]) + 1, dtype=np.int64)
             there[key[a:b] % self.places - self.origin[k] + 1] = 1
             many = np.cumsum(there)
             starts = np.flatnonzero(many[self.rule.stretch - 1 : self.rule.stretch - 1 + len(self.needed[k])] - many[: len(self.needed[k])] >= self.needed[k])
             if len(starts):
-                d = int(np.searchsorted(first_block, block, side="right")) - 1
                 yield d, k, max(int(block - first_block[d]) - 1, 0) << shift, starts
         for k in self.open:  # too few pairs to tell: everywhere
             for d in range(len(begin) - 1):
@@ -199,8 +200,12 @@ def aligned(text: np.ndarray, skipped: np.ndarray, document: np.ndarray, starts:
     n, slack = len(text), rule.stretch - rule.least
     if n < rule.stretch:
         return False
-    where: dict[int, int] = defaultdict(int)
-    for j, w in enumerate(document.tolist()):
+    starts = list(starts)
+    where: dict[int, int] = dict.fromkeys(text[min(starts, default=0) : max(starts, default=0) + rule.stretch].tolist(), 0)
+    sought = np.zeros(int(max(text.max(), document.max(initial=0))) + 1, dtype=bool)
+    sought[list(where)] = True
+    shared = np.flatnonzero(sought[document])
+    for j, w in zip(shared.tolist(), document[shared].tolist(), strict=True):
         where[w] |= 1 << j
     bits = [where.get(w, 0) for w in text.tolist()]
     left_out = np.cumsum(skipped).tolist()

@@ -56,6 +56,7 @@ class _Part:
         for end in range(self.block - 1, self.window):
             at = self._hash(self.bytes, end)
             self.shift[at] = np.minimum(self.shift[at], self.window - 1 - end)
+        self.prefix = _packed([self.bytes[:, k] for k in range(self.block)])
         last = self._hash(self.bytes, self.window - 1)
         self.bucket = np.argsort(last, kind="stable")
         self.first = np.searchsorted(last[self.bucket], np.arange(SLOTS + 1))
@@ -69,12 +70,17 @@ class _Part:
         begin = ends - self.window + 1
         many = self.first[slot + 1] - self.first[slot]
         entry = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(ends) else np.zeros(0, np.int64)
-        at, which = np.repeat(begin, many), self.bucket[entry]
+        which = self.bucket[entry]
+        begins = _packed([text[begin + k] for k in range(self.block)])
+        same = np.flatnonzero(np.repeat(begins, many) == self.prefix[which])
+        at, which = np.repeat(begin, many)[same], which[same]
         keep = at + self.sizes[which] <= len(text)
         at, which = at[keep], which[keep]
-        for k in range(self.bytes.shape[1]):
-            same = (k >= self.sizes[which]) | (text[np.minimum(at + k, len(text) - 1)] == self.bytes[which, k])
-            at, which = at[same], which[same]
+        for k in range(self.block, self.bytes.shape[1]):
+            there = np.minimum(at + k, len(text) - 1)
+            same = (k >= self.sizes[which]) | (text[there] == self.bytes[which, k])
+            if not same.all():
+                at, which = at[same], which[same]
         return at, self.numbers[which]
 
     def _ends(self, text: np.ndarray) -> np.ndarray:
@@ -93,7 +99,12 @@ class _Part:
 
 def _hashed(block: list[np.ndarray]) -> np.ndarray:
     """Slot of a block of bytes, the last one first."""
-    code = block[0].astype(np.int64)
+    return _packed(block).astype(np.int64) * 2_654_435_761 >> 14 & (SLOTS - 1)
+
+
+def _packed(block: list[np.ndarray]) -> np.ndarray:
+    """Bytes side by side in one number."""
+    code = block[0].astype(np.int32)
     for k, b in enumerate(block[1:], 1):
-        code |= b.astype(np.int64) << (8 * k)
-    return code * 2_654_435_761 >> 14 & (SLOTS - 1)
+        code |= b.astype(np.int32) << (8 * k)
+    return code
