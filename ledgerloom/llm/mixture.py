@@ -54,6 +54,7 @@ def mix_sources(records: DataFrame, key: str, source: str, size: str, shares: li
     """
     spark = records.sparkSession
     rows = records.where(F.col(source).isNotNull()).select(F.col(source).alias("source"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
+    rows = durable(rows, "sizes")  # a size may be dear, and laying out reads it twice
     laid = split_running(rows.withColumn("draw", F.xxhash64(F.lit(seed), "key", "source")), ["source"], ["draw", "key"], sums={"upto": F.col("size")})
     wanted = sorted({s.source for s in shares})
     total = laid.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
