@@ -19,8 +19,6 @@ _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 #: Cut penalties: at a blank line, a line feed, a sentence's end, between any two tokens.
 PARAGRAPH, LINE, SENTENCE, ANYWHERE = 0.0, 0.05, 0.1, 4.0
 _NAMES = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", ANYWHERE: "token"}
-#: Between natural boundaries too far apart, every so many tokens may be cut.
-GRID = 16
 
 
 def boundaries(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +41,15 @@ def best_cuts(n: int, natural: np.ndarray, penalty: np.ndarray, limit: int, over
     The piece up to a cut has the tokens since the previous cut and ``overlap``
     ones before it, ``limit`` at most. Over all such sequences of cuts the sum of
     cut penalties and squared deviations from even pieces is least: dynamic
-    programming over the natural boundaries, with a grid of further points only
-    where two neighbours are too far apart for one piece.
+    programming over the natural boundaries, and over every token where two
+    neighbours are too far apart for one piece.
     """
     reach = limit - overlap
     edges = np.concatenate(([0], natural, [n]))
     wide = np.flatnonzero(np.diff(edges) > reach)
     points, cost = natural, penalty
     if len(wide):
-        extra = np.concatenate([np.arange(edges[i] + GRID, edges[i + 1], GRID) for i in wide])
+        extra = np.concatenate([np.arange(edges[i] + 1, edges[i + 1]) for i in wide])
         points, cost = np.concatenate((natural, extra)), np.concatenate((penalty, np.full(len(extra), ANYWHERE)))
         order = np.argsort(points, kind="stable")
         points, cost = points[order], cost[order]

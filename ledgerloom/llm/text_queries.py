@@ -52,6 +52,13 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", 400, 40)
 
 
+def p9_lossless(spark: SparkSession, d: str) -> DataFrame:
+    """Per document what its pieces give back: the digest of their new parts joined, the tokens less the overlaps, whether all are within the limit."""
+    new = F.expr("substring(text, int(own - start) + 1)")
+    parts = p9_pieces(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", new.alias("new")))).alias("parts"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
+    return parts.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda p: p["new"]), "")).alias("digest"), (F.col("tokens") - 40 * (F.size("parts") - 1)).cast("bigint").alias("tokens"), (F.col("most") <= 400).alias("within"))
+
+
 _TOKENS_SQL = f"coalesce(len(regexp_extract_all(text, '{PATTERN}')), 0)"
 _MIX_SQL = f"""
 WITH t AS (SELECT replace(lower(trim(source)), '-', '_') s, sum({_TOKENS_SQL})::BIGINT n FROM documents WHERE trim(source) <> '' GROUP BY 1),
@@ -62,9 +69,10 @@ WITH d AS (SELECT doc_id, text FROM documents WHERE {_TOKENS_SQL} > 400),
 s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\r\f\v]', '\\1\n', 'g'), '\n')) AS text FROM d)
 """
 
-QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p8_mix": p8_mix, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p8_mix": p8_mix, "p9_found": p9_found, "p9_pieces": p9_pieces, "p9_lossless": p9_lossless}
 SQL = {
     "p8_found": _MIX_SQL + "SELECT mix_id, source FROM r WHERE max_repeats::HUGEINT * available * 100000 < total * budget_percent * target_permille",
+    "p9_lossless": f"SELECT doc_id, md5(coalesce(text, '')) digest, {_TOKENS_SQL}::BIGINT tokens, true AS within FROM documents",
     "p9_found": _CUT_SQL + f"SELECT doc_id, 'over_limit' issue FROM d UNION ALL SELECT DISTINCT doc_id, 'no_boundary' FROM s WHERE {_TOKENS_SQL} > 400",
 }
 
