@@ -1,8 +1,11 @@
-"""Taking texts apart, as Column expressions."""
+"""Taking texts apart, as Column expressions where these can."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +24,32 @@ def without_preamble(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\r\n"))
 
 
+def truncated(df: DataFrame, text: str, tokens: int, ranks: str, pattern: str) -> DataFrame:
+    """``df`` with ``text`` cut after so many tokens of a byte-pair vocabulary: ``ranks``, a file that every worker can read,
+    of base64 tokens and their ranks; ``pattern``, what parts a text before pairs are merged. Shorter texts, NULL too,
+    stay; a character that the cut goes through is left out. Texts of at most ``tokens`` bytes are not
+    encoded: they have no more tokens than bytes.
+    """
+    at = df.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        for batch in batches:
+            out = []
+            for t in batch.column(at).to_pylist():
+                ids = encoding.encode_ordinary(t) if t is not None and len(t.encode()) > tokens else ()
+                out.append(encoding.decode_bytes(ids[:tokens]).decode(errors="ignore") if len(ids) > tokens else t)
+            yield batch.set_column(at, text, pa.array(out, pa.string()))
+
+    return df.mapInArrow(cut, df.schema)
+
+
 def blocks(text: Column) -> Column:
     """All {...} blocks without blocks inside."""
     return F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1))

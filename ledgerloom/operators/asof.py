@@ -44,11 +44,15 @@ def attributes_as_of(events: DataFrame, time: str, attributes: Sequence[Attribut
     entity or a NULL or NaN time, the attribute has its default. Equal events
     come out once; events are grouped by all their columns, so pass the few that
     identify them (no maps). History rows with a NULL time or entity never count.
+    All histories have values of one type.
     """
     columns = list(events.columns)
     clash = {a.name for a in attributes} & set(columns)
     if clash:
         raise ValueError(f"events already have {sorted(clash)}")
+    kinds = {a.history.schema["value"].dataType.simpleString() for a in attributes}
+    if len(kinds) > 1:  # one column holds all values
+        raise ValueError(f"histories have values of {sorted(kinds)}; cast them to one type")
     usable = F.col(time).isNotNull() & ~F.isnan(time) & (F.abs(time) < 9e12)
     events = events.withColumn("_event", F.struct(*columns))
     state = "struct<valid_from:bigint,known_from:bigint,version:bigint,value:{}>"

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scores import cosine, dot, shared_levels
+from ledgerloom.functions.scores import dot, l2_normalised, shared_levels
 from ledgerloom.operators.numbering import numbered
+from ledgerloom.sources.durable import durable
 
 LEVELS = ("c0", "c1", "c2")
 
@@ -87,27 +88,34 @@ def quantised(vectors: DataFrame, item: str, vector: str, books: Sequence[DataFr
     return work.drop("rest")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512, blocks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, similarity): for each query vector its ``k`` most similar others, ties by id.
 
-    ``queries`` and ``vectors`` have vec_id and embedding. The stated queries go
-    against all vectors in blocks of ``block``: a block is broadcast, each task
-    keeps a heap of ``k`` per query, and only the heaps are shuffled.
+    ``queries`` and ``vectors`` have vec_id and embedding; rows without either are left out. The stated
+    queries go against all vectors: ``blocks`` rows of ``block`` queries each are broadcast, each task keeps a
+    heap of ``k`` per query, and only the heaps are shuffled. With more queries than that there is a pass over the
+    vectors for every further blocks * block of them, whose heaps are written before the next begins.
     """
+    from itertools import batched
+
     from ledgerloom.functions.aggregates import bounded_heap
 
-    spark, out, held = vectors.sparkSession, None, []
+    spark = vectors.sparkSession
+    unit = lambda df: df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("bigint"), l2_normalised(F.col("embedding")).alias("embedding"))
+    vectors = unit(vectors)
 
-    def against(rows: list) -> DataFrame:
-        asked = spark.createDataFrame([(rows,)], "asked array<struct<query_id:bigint,query:array<float>>>")
+    def against(rows: Sequence) -> DataFrame:
+        asked = spark.createDataFrame([([tuple(r) for r in part],) for part in batched(rows, block)], "asked array<struct<query_id:bigint,query:array<double>>>")
         pairs = vectors.crossJoin(F.broadcast(asked)).select("vec_id", "embedding", F.inline("asked")).where("vec_id != query_id")
-        heap = bounded_heap(F.struct((-F.round(cosine(F.col("query"), F.col("embedding")), 9)).alias("far"), F.col("vec_id")), k)
+        heap = bounded_heap(F.struct((-F.round(dot(F.col("query"), F.col("embedding")), 9)).alias("far"), F.col("vec_id")), k)
         return pairs.groupBy("query_id").agg(heap.alias("h")).select("query_id", F.posexplode("h").alias("rank", "h")).select("query_id", (F.col("rank") + 1).alias("rank"), "h.vec_id", (-F.col("h.far")).alias("similarity"))
 
-    for row in queries.select(F.col("vec_id").cast("bigint"), "embedding").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            out, held = against(held) if out is None else out.unionByName(against(held)), []
-    if held or out is None:
-        out = against(held) if out is None else out.unionByName(against(held))
+    out, following = None, batched(unit(queries).toLocalIterator(), block * blocks)
+    rows, ahead = next(following, ()), next(following, None)
+    if not ahead:
+        return against(rows)
+    while rows:
+        part = durable(against(rows), "nearest")
+        out = part if out is None else out.unionByName(part)
+        rows, ahead = ahead, next(following, None)
     return out

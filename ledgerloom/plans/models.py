@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.models import factorised, held_out_regression, residual_codes
+from ledgerloom.operators.models import covariate_shift, factorised, held_out_regression, residual_codes
 from ledgerloom.plans.ingest import _register
 from ledgerloom.plans.views import gains, goals, interactions, sequences
 from ledgerloom.sources.durable import durable
@@ -34,3 +34,10 @@ def lodo_ridge(spark, d):
     """Gains of each dataset predicted by a ridge on the others."""
     v = gains(spark, d).select("run_index", "dataset", "hm", F.log1p(F.col("run_index") % 50).alias("size"), "voi")
     return held_out_regression(v, "dataset", ["hm", "size"], "voi").select("run_index", "dataset", F.round("voi", 6).alias("voi"), F.round("predicted", 6).alias("predicted"))
+
+
+@query()
+def covariate_shift_auc(spark, d):
+    """Whether what is known of the runs of one half tells them from those of the other."""
+    v = gains(spark, d).select("run_index", "hm", "hmt", "voi", (F.col("run_index") % 2 == 0).alias("calibration"))
+    return covariate_shift(v, "calibration", ["hm", "hmt", "voi"]).select(F.round("auc", 6).alias("auc"), "rows")
