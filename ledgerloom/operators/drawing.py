@@ -31,7 +31,7 @@ def expanded(tasks: DataFrame, key: str, catalog: DataFrame, seen: DataFrame, dr
     if short.isEmpty():
         return kept
     free = catalog.select("item_id").crossJoin(short).join(seen.select(key, "item_id"), [key, "item_id"], "left_anti").join(kept.select(key, "item_id"), [key, "item_id"], "left_anti")
-    heap = free.groupBy(key, "__ll_have").agg(bounded_heap(F.struct(F.xxhash64(key, "item_id").alias("h"), "item_id"), n).alias("h"))
+    heap = free.groupBy(key, "__ll_have").agg(bounded_heap(F.struct(F.md5(F.concat_ws(":", key, "item_id")).alias("h"), "item_id"), n).alias("h"))
     more = heap.select(key, "__ll_have", F.posexplode("h").alias("k", "h")).withColumn("pos", (F.col("__ll_have") + F.col("k") + 1).cast("bigint"))
     return kept.unionByName(more.where(F.col("pos") <= n).select(key, "h.item_id", "pos"))
 

@@ -200,7 +200,9 @@ _NEG, _TRIES = 100, 256
 _LOO = f"""{S}, g AS (SELECT user_id, item_id target FROM s WHERE pos = s.n), cat AS MATERIALIZED (SELECT p_partkey item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part),
 j AS (SELECT g.user_id, t.j, (g.user_id * 7919 + t.j * 104729 + (g.user_id % 1009) * t.j * t.j) % n idx FROM g, (SELECT count(*) n FROM part), range(0, {_TRIES}) t(j)),
 dr AS (SELECT j.user_id, cat.item_id, min(j.j) j FROM j JOIN cat USING (idx) ANTI JOIN s ON s.user_id = j.user_id AND s.item_id = cat.item_id GROUP BY 1, 2),
-un AS (SELECT user_id, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) r FROM dr) WHERE r <= {_NEG} UNION ALL SELECT user_id, target FROM g),
+ke AS MATERIALIZED (SELECT user_id, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) r FROM dr) WHERE r <= {_NEG}), sh AS (SELECT g.user_id, count(ke.item_id) have FROM g LEFT JOIN ke USING (user_id) GROUP BY 1 HAVING count(ke.item_id) < {_NEG}),
+fr AS (SELECT p.* FROM (SELECT user_id, have, item_id FROM sh, cat) p ANTI JOIN s ON s.user_id = p.user_id AND s.item_id = p.item_id ANTI JOIN ke ON ke.user_id = p.user_id AND ke.item_id = p.item_id),
+fi AS (SELECT user_id, item_id, have + row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || ':' || item_id), item_id) k FROM fr), un AS (SELECT user_id, item_id FROM ke UNION ALL SELECT user_id, item_id FROM fi WHERE k <= {_NEG} UNION ALL SELECT user_id, target FROM g),
 po AS (SELECT item_id, count(*) n FROM s WHERE pos < s.n GROUP BY 1), sc AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(po.n, 0) DESC, item_id) r FROM un LEFT JOIN po USING (item_id)), hi AS (SELECT sc.user_id, r FROM sc JOIN g ON g.user_id = sc.user_id AND g.target = sc.item_id)"""
 
 
