@@ -12,7 +12,7 @@ from ledgerloom.operators import codes as K
 from ledgerloom.operators import timelines as L
 from ledgerloom.operators import workflow as W
 from ledgerloom.operators.drawing import disjoint_by_condition, expanded
-from ledgerloom.operators.lookup import lookup_join
+from ledgerloom.operators.lookup import lookup_join, measured
 from ledgerloom.operators.numbering import counts_before, numbered
 from ledgerloom.plans.codes import _SCORE, ranked
 from ledgerloom.plans.ingest import _register
@@ -127,7 +127,7 @@ def candidate_summaries(spark, d):
     """The ten best candidates with their codes and how many items there are under a code's first two levels."""
     c = codes(spark, d)
     under = c.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("under_prefix"))
-    best = ranked(spark, d).where("rank <= 10").join(c, "item_id").join(under, ["c0", "c1"])
+    best = ranked(spark, d).where("rank <= 10").join(measured(c), "item_id").join(measured(under), ["c0", "c1"])
     return best.select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"), "score", K.code_key().alias("code"), "under_prefix")
 
 
