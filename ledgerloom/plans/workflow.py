@@ -217,7 +217,7 @@ def leave_one_out_evaluation(spark, d):
     popular = L.with_length(sequence).where("pos < n").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     scored = lookup_join(pool, popular, "item_id", "user_id")
     # At most a hundred and one rows a user.
-    place = scored.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), "item_id"))).join(goal, "user_id").where("item_id = target")
+    place = scored.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), "item_id"))).join(measured(goal), "user_id").where("item_id = target")
     return place.agg(F.count(F.lit(1)).alias("users"), F.round(F.avg(F.when(F.col("r") <= 10, 1.0).otherwise(0.0)), 6).alias("hr_10"), F.round(F.avg(F.when(F.col("r") <= 10, 1 / F.log2(F.col("r") + 1)).otherwise(0.0)), 6).alias("ndcg_10"))
 
 
