@@ -16,7 +16,7 @@ def target_joins(spark, monkeypatch, query):
     return met.count(["user_id", "target"])
 
 
-@pytest.mark.parametrize("query", ["shortlist_recall", "sid_confidence"])
+@pytest.mark.parametrize("query", ["shortlist_recall", "sid_confidence", "shortlist_topk"])
 def test_only_histories_meet_targets(spark, monkeypatch, query):
     assert target_joins(spark, monkeypatch, query) == 1
 
