@@ -25,3 +25,17 @@ def test_target_is_at_zero_and_nowhere_else(spark):
     pool, _, goal = codes._drawn(spark, DATA)
     both = pool.join(goal, "user_id").where((F.col("pos") == 0) != F.col("item_id").eqNullSafe(F.col("target")))
     assert both.isEmpty() and pool.where("pos = 0").count() == goal.count()
+
+
+def test_negatives_are_drawn_as_many_as_needed(spark, rows, monkeypatch):
+    asked = []
+    monkeypatch.setattr(codes, "expanded", lambda *given: asked.append(given[5]) or expanded(*given))
+    from ledgerloom.operators.drawing import expanded
+
+    got = rows(registry.QUERIES["negative_sampling"](spark, DATA))
+    assert asked == [9]
+    assert got == rows(codes.universe(spark, DATA).where("pos BETWEEN 1 AND 9").select("user_id", "item_id"))
+
+
+def test_negatives_meet_no_targets(spark, monkeypatch):
+    assert target_joins(spark, monkeypatch, "negative_sampling") == 0
