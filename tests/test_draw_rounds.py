@@ -20,7 +20,7 @@ def looked_up(spark, monkeypatch, query):
     return [spark.range(1).select(b).first()[0] + 1 for b in asked]
 
 
-@pytest.mark.parametrize("query", ["sid_confidence"])
+@pytest.mark.parametrize("query", ["sid_confidence", "shortlist_topk"])
 def test_few_tries_come_first(spark, monkeypatch, query):
     assert looked_up(spark, monkeypatch, query)[0] == 24
 
